@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import embedding_dedup, mixing, sharding, simhash, topk
 from .shared import read
 
 
@@ -10,6 +10,10 @@ def op1_feistel_sharding(spark, sf_dir):
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_multi_index_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -18,9 +22,13 @@ def op6_source_mixing(spark, sf_dir):
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_norm_bucket_top_k(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_feistel_sharding, op3_simhash_near_dedup, op6_source_mixing)}
+    return {f.__name__: f for f in (op1_feistel_sharding, op2_multi_index_near_dedup, op3_simhash_near_dedup, op6_source_mixing, op7_norm_bucket_top_k)}
 
 
 def oracle_sql():
-    return {"op6_source_mixing": mixing.ORACLE}
+    return {"op2_multi_index_near_dedup": embedding_dedup.ORACLE, "op7_norm_bucket_top_k": topk.ORACLE, "op6_source_mixing": mixing.ORACLE}
