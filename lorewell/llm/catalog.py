@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, sharding, simhash, topk
+from . import embedding_dedup, licenses, mixing, pieces, quality, sharding, simhash, topk, toxicity
 from .shared import read
 
+#: A public model file of the machine's; a parameter of the operator, never part of this repository.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_feistel_sharding(spark, sf_dir):
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
@@ -18,6 +21,10 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_fuzzy_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
@@ -26,8 +33,31 @@ def op7_norm_bucket_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op8_pu_quality(spark, sf_dir):
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_lexicon_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(read(spark, sf_dir, "documents"), MODEL)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_feistel_sharding, op2_multi_index_near_dedup, op3_simhash_near_dedup, op6_source_mixing, op7_norm_bucket_top_k)}
+    own = (
+        op1_feistel_sharding,
+        op2_multi_index_near_dedup,
+        op3_simhash_near_dedup,
+        op4_fuzzy_license_scan,
+        op6_source_mixing,
+        op7_norm_bucket_top_k,
+        op8_pu_quality,
+        op9_lexicon_toxicity,
+        op10_sentencepiece,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql():

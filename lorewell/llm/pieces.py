@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ PENALTY = 10.0
 LOWEST = float("-inf")
 #: Stretches between spaces whose encoding a worker remembers.
 MEMORY = 1 << 19
+#: Texts encoded at a time.
+ROWS = 256
 
 
 def _fields(data: bytes):
@@ -156,8 +162,6 @@ _encoders: dict[bytes, Encoder] = {}
 
 def encoder(model: bytes) -> Encoder:
     """The encoder of a model file's bytes, built once in each worker."""
-    import hashlib
-
     key = hashlib.sha256(model).digest()
     if key not in _encoders:
         _encoders[key] = Encoder(*read_pieces(model))
@@ -170,33 +174,43 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(documents: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>), decoded of every document.
+def _column(lists: list[list[int]]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(list(map(len, lists)))]).astype(np.int32)
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
 
-    The split of greatest summed piece score, each stretch of the text scored by the model file's own scores; ties
-    go to the longer last piece. The decoded text equals the text (a text that itself holds U+2581 comes back with
-    spaces there). A null or empty text has no ids and decodes to empty text. Texts of any length are read whole.
-    Repeated rows stay; further columns are ignored.
+def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array<int>), exact (decoding gives the text back) of every document.
+
+    The split of greatest summed piece score, by the scores of the model file; ties go to the longer last piece.
+    Decoding restores the text, but for a text that itself holds U+2581, which comes back as spaces. A null or
+    empty text has no ids and decodes to empty text. Texts of any length are read whole. Repeated rows stay;
+    further columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def encode(batches):
         e = encoder(shared.value)
-        ids = [e.encode(t) for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded": [e.decode(i) for i in ids]})
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = list(map(e.encode, texts))
+                exact = [e.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), _column(ids), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"])
 
-    return documents.select("doc_id", encode(text).alias("_e")).select("doc_id", "_e.ids", "_e.decoded")
+    rows = documents.select("doc_id", "text")
+    return rows.mapInArrow(encode, f"doc_id {rows.dtypes[0][1]}, n_tokens long, ids array<int>, exact boolean")
 
 
-def token_digest(documents: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids joined by spaces), exact (the decoded text is the text) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, text from the columns doc_id and ids; null ids give empty text."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
-    @F.pandas_udf("n_tokens long, ids string, exact boolean")
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("string")
+    def decode(lists: pd.Series) -> pd.Series:
         e = encoder(shared.value)
-        ids = [e.encode(t) for t in texts]
-        return pd.DataFrame({"n_tokens": list(map(len, ids)), "ids": [" ".join(map(str, i)) for i in ids], "exact": [e.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]})
+        return pd.Series(["" if i is None else e.decode(i.tolist()) for i in lists], dtype=object)
 
-    return documents.select("doc_id", digest("text").alias("_d")).select("doc_id", "_d.n_tokens", "_d.ids", "_d.exact")
+    return encoded.select("doc_id", decode("ids").alias("text"))
