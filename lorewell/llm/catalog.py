@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, licenses, mixing, pieces, quality, sharding, simhash, topk, toxicity
+from . import embedding_dedup, language_model, licenses, mixing, pieces, quality, sharding, simhash, topk, toxicity
 from .shared import read
 
 #: A public model file of the machine's; a parameter of the operator, never part of this repository.
@@ -25,6 +25,10 @@ def op4_fuzzy_license_scan(spark, sf_dir):
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_pitman_yor_scores(spark, sf_dir):
+    return language_model.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
@@ -45,19 +49,26 @@ def op10_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(read(spark, sf_dir, "documents"), MODEL)
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     own = (
         op1_feistel_sharding,
         op2_multi_index_near_dedup,
         op3_simhash_near_dedup,
         op4_fuzzy_license_scan,
+        op5_pitman_yor_scores,
         op6_source_mixing,
         op7_norm_bucket_top_k,
         op8_pu_quality,
         op9_lexicon_toxicity,
         op10_sentencepiece,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql():

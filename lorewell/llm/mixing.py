@@ -22,7 +22,8 @@ def water_fill(sources: DataFrame, share: float = SHARE, epochs: float = EPOCHS)
     The amount share x (sum of sizes) is dealt out in proportion to the weights; what a source gets above
     epochs x its size goes to the others by weight, until nobody is above. The fixed point has a closed form: in
     the order of cap / weight, the level at source k is (amount - caps before k) / (weights from k on); every
-    source before the first whose cap / weight is above its level stands at its cap, the others at level x weight.
+    source before the first whose cap / weight is above its level stands at its cap, the others at that level x
+    weight; if there is none, all stand at their caps.
     One row per source goes through the window, not the documents.
     """
     cap = F.col("source_size") * F.lit(float(epochs))
@@ -33,12 +34,10 @@ def water_fill(sources: DataFrame, share: float = SHARE, epochs: float = EPOCHS)
         .withColumn("_before", F.coalesce(F.sum("_cap").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("_weights", F.sum("weight").over(filled.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("_level", (F.sum("source_size").over(everyone) * F.lit(float(share)) - F.col("_before")) / F.col("_weights"))
-        .withColumn("_open", F.col("_cap") > F.col("_level") * F.col("weight"))
-        .withColumn("_water", F.min(F.when(F.col("_open"), F.col("_level"))).over(everyone))
-    )
-    return ranked.withColumn("target", F.when(F.col("_open"), F.col("_water") * F.col("weight")).otherwise(F.col("_cap"))).drop(
-        "_cap", "_before", "_weights", "_level", "_open", "_water"
+        .withColumn("_at", F.when(F.col("_cap") > F.col("_level") * F.col("weight"), F.row_number().over(filled)))
+        .withColumn("_water", F.min_by("_level", "_at").over(everyone))
     )
+    return ranked.withColumn("target", F.least("_cap", F.col("_water") * F.col("weight"))).drop("_cap", "_before", "_weights", "_level", "_at", "_water")
 
 
 def chance(key: Column, seed: str) -> Column:
@@ -85,18 +84,19 @@ def take(documents: DataFrame, **options) -> DataFrame:
     column is there, is set to its length.
     """
     seed = options.get("seed", SEED)
-    mixed = mix(documents, **options)
+    slim = documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "source", "text")
+    mixed = mix(slim, **options)
     whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
     part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
     run = F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))
     rows = mixed.withColumn("_rep", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), run)))
     start = F.floor(chance(F.col("doc_id"), seed + ":start") * (F.col("_size") - F.col("_rep") + 1))
     piece = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1)), (start + 1).cast("int"), F.col("_rep").cast("int")), " ")
-    cut = F.when(F.col("_rep") > 0, piece).otherwise(F.col("text"))
-    out = rows.withColumn("text", cut)
+    text = F.when(F.col("_rep") > 0, piece).otherwise(F.col("text"))
+    changed = {"text": text}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+        changed["n_chars"] = F.when(F.col("_rep") > 0, F.length(piece)).otherwise(F.col("_row")["n_chars"]).cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in documents.columns])
 
 
 ORACLE = f"""
@@ -108,9 +108,9 @@ ranked AS (
     COALESCE(SUM(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     SUM(weight) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
   FROM weighed),
-levels AS (SELECT *, ((SELECT SUM(source_size) FROM sources)::DOUBLE * 1.5::DOUBLE - before) / weights AS level FROM ranked),
-water AS (SELECT MIN(level) AS w FROM levels WHERE cap > level * weight),
-targets AS (SELECT source, source_size, CASE WHEN cap > level * weight THEN (SELECT w FROM water) * weight ELSE cap END AS target FROM levels),
+levels AS (SELECT *, ROW_NUMBER() OVER (ORDER BY cap / weight, source NULLS LAST) AS k, ((SELECT SUM(source_size) FROM sources)::DOUBLE * 1.5::DOUBLE - before) / weights AS level FROM ranked),
+water AS (SELECT ARG_MIN(level, k) AS w FROM levels WHERE cap > level * weight),
+targets AS (SELECT source, source_size, LEAST(cap, (SELECT w FROM water) * weight) AS target FROM levels),
 dealt AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,

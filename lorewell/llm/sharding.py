@@ -43,7 +43,7 @@ def permute(x: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def shard_rows(rows: DataFrame, ids: list[str], shards: int = 16, seed: int = 7) -> DataFrame:
-    """The rows with `row_number`, `shard` and `slot` added (names that must be free).
+    """The rows with `row_number`, `shard` and `slot` added; columns of these names in the input are replaced.
 
     Global row numbers follow from the values of the columns `ids` alone: rows are put into BUCKETS buckets by a
     hash of the ids, numbered inside a bucket in the order of the ids, and offset by the counts of the buckets
@@ -53,7 +53,8 @@ def shard_rows(rows: DataFrame, ids: list[str], shards: int = 16, seed: int = 7)
     table gives an empty result.
     """
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ids])
-    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    kept = [c for c in rows.columns if c not in ("row_number", "shard", "slot")]
+    placed = rows.select(F.struct(*rows.columns).alias("_row"), *ids).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -70,9 +71,8 @@ def shard_rows(rows: DataFrame, ids: list[str], shards: int = 16, seed: int = 7)
         .withColumn("row_number", F.col("_offset") + F.col("_within"))
         .withColumn("_place", place("row_number"))
     )
-    return numbered.withColumns({"shard": (F.col("_place") % shards).cast("int"), "slot": F.floor(F.col("_place") / shards).cast("long")}).drop(
-        "_bucket", "_offset", "_within", "_place"
-    )
+    shard, slot = (F.col("_place") % shards).cast("int"), F.floor(F.col("_place") / shards).cast("long")
+    return numbered.select(*[F.col("_row")[c].alias(c) for c in kept], "row_number", shard.alias("shard"), slot.alias("slot"))
 
 
 def shard_documents(documents: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:

@@ -50,3 +50,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the rows don't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

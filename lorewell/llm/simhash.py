@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, cut
+from .shared import LOWER, cut, free_name
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
 #: Shingles whose hashes are held at a time.
@@ -193,5 +193,6 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, distance: int = DI
 
 def one_of_each(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """The documents that stand for their groups, with all their columns; of rows that repeat such an id, one."""
-    kept = near_duplicates(documents, width, distance).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id"])
+    kept = free_name(documents, "kept")
+    ids = near_duplicates(documents, width, distance).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
+    return documents.join(ids, F.col("doc_id").eqNullSafe(F.col(kept))).drop(kept).dropDuplicates(["doc_id"])
