@@ -13,16 +13,16 @@ from .shared import fold
 
 #: Most rows of either kind, positive and unlabelled, that the model is fitted to.
 SAMPLE = 20_000
-THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
+THRESHOLD, FOLDS, HELD_OUT, RIDGE = 0.7, 4, 2, 3e-3
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#$%&*+<=>@[\\]^_`{|}~!")] = True
 DIGITS = np.zeros(256, bool)
 DIGITS[48:58] = True
-NAMES = ("upper", "symbols", "symbol_ends", "bars", "stutter", "digits", "repeats", "same_lines", "length", "word_length")
+NAMES = ("upper", "symbols", "symbol_ends", "bars", "stutter", "digits", "repeats", "same_lines")
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of shapes in a whole text; the constants added to counts keep a few words from weighing like many."""
+    """Shares of shapes in a whole text, none of its length or language; the constants added to counts keep a few words from weighing like many."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     n = len(words)
@@ -38,8 +38,6 @@ def features(text: str | None) -> np.ndarray:
         counts[DIGITS].sum() / (len(data) + 50),
         (n - len(set(words))) / (n + 30),
         (len(lines) - len(set(lines))) / (len(lines) + 5),
-        np.log1p(n) / 10,
-        min(2.0, (len(data) - n) / (n + 1) / 10),
     ])
 
 
@@ -72,7 +70,7 @@ def _descend(model: Model, gradient, steps: int = 600, rate: float = 0.05) -> No
     at = np.append(model.weights, model.bias)
     first, second = np.zeros_like(at), np.zeros_like(at)
     for t in range(1, steps + 1):
-        g = gradient(at) + 1e-4 * np.append(at[:-1], 0)
+        g = gradient(at) + RIDGE * np.append(at[:-1], 0)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         at = at - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     model.weights, model.bias = at[:-1], float(at[-1])
