@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -14,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 SPACE = "▁"
 #: Piece types of a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the lowest score by so much: a character that no piece covers.
 PENALTY = 10.0
 LOWEST = float("-inf")
-#: Stretches between spaces whose encoding a worker remembers.
-MEMORY = 1 << 19
+#: Stretches between spaces whose encoding a worker remembers, and the longest of them.
+MEMORY, LONGEST = 3 << 15, 64
 #: Texts encoded at a time.
 ROWS = 256
 
@@ -80,7 +81,8 @@ class Encoder:
         self.alone = frozenset(p for p, _, _ in text if len(p) == 1)
         #: If spaces stand in pieces only at the start, or alone, no piece crosses from a word to the next space.
         self.separable = all(SPACE not in p.lstrip(SPACE) for p, _, _ in text)
-        self.remember = lru_cache(MEMORY)(self.search)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def normal(self, text: str) -> str:
         text = text.replace(" ", SPACE)
@@ -120,6 +122,18 @@ class Encoder:
             to = start[to]
         return tuple(reversed(out))
 
+    def remember(self, stretch: str) -> tuple[int, ...]:
+        """The stretch's pieces, searched for once as long as it is remembered: what was asked for since the memory
+        was last full stays, the rest is forgotten the next time."""
+        found = self.known.get(stretch)
+        if found is None:
+            found = self.older.get(stretch) or self.search(stretch)
+            if len(stretch) <= LONGEST:
+                if len(self.known) >= MEMORY:
+                    self.older, self.known = self.known, {}
+                self.known[stretch] = found
+        return found
+
     def encode(self, text: str | None) -> list[int]:
         text = self.normal(text or "")
         if not self.separable:
@@ -200,7 +214,7 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
                 exact = [e.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), _column(ids), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"])
 
-    rows = documents.select("doc_id", "text")
+    rows = small_batches(documents).select("doc_id", "text")
     return rows.mapInArrow(encode, f"doc_id {rows.dtypes[0][1]}, n_tokens long, ids array<int>, exact boolean")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold
+from .shared import fold, small_batches
 
 #: Most rows of either kind, positive and unlabelled, that the model is fitted to.
 SAMPLE = 20_000
@@ -150,11 +150,11 @@ def score_documents(documents: DataFrame, labels: DataFrame, **options) -> DataF
     """
     folds, held = options.get("folds", FOLDS), options.get("held_out", HELD_OUT)
     score = scorer(train(documents, labels, **options))
-    scored = documents.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), score("text").alias("score"))
+    scored = small_batches(documents).select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     score = scorer(train(documents, labels, **options))
-    return documents.where(score("text") >= threshold)
+    return small_batches(documents).where(score("text") >= threshold)

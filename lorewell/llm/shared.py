@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space that parts words, the same in Java's and Python's regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bounds of a batch of texts.
+BATCH_ROWS, BATCH_MB = 1000, 8
 #: Lower case for A-Z only, by byte.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -58,3 +60,15 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows; their session hands texts to Python in batches of at most BATCH_ROWS rows and BATCH_MB megabytes.
+
+    Whole texts go into a batch, however long.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_MB}m")
+    return df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, cut, free_name
+from .shared import LOWER, cut, free_name, small_batches
 
 WIDTH, DISTANCE, SEED = 4, 4, 42
 #: Shingles whose hashes are held at a time.
@@ -46,7 +46,7 @@ def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
 
-    return documents.select("doc_id", of("text").alias("fp"))
+    return small_batches(documents).select("doc_id", of("text").alias("fp"))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop_table, fold
+from .shared import cut, drop_table, fold, small_batches
 
 #: Most labelled rows of either class that weights and scale are fitted to.
 SAMPLE = 5_000
@@ -167,6 +167,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
     driver gets those that at least half a percent of these texts hold, and two numbers for each text of the sample. Without texts of both classes the fixed words
     and scale remain.
     """
+    small_batches(documents)
     learnt = labels.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     marked = learnt.groupBy("doc_id").agg(F.min("toxic").alias("_toxic"), F.max("toxic").alias("_most")).where("_toxic = _most")
     known = marked.join(documents.select("doc_id").distinct(), "doc_id").select("doc_id", "_toxic")
@@ -230,11 +231,11 @@ def score_documents(documents: DataFrame, labels: DataFrame, **options) -> DataF
     """
     folds, held = options.get("folds", FOLDS), options.get("held_out", HELD_OUT)
     score = scorer(train(documents, labels, **options))
-    scored = documents.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), score("text").alias("score"))
+    scored = small_batches(documents).select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), score("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_civil(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
     score = scorer(train(documents, labels, **options))
-    return documents.where(score("text") < threshold)
+    return small_batches(documents).where(score("text") < threshold)

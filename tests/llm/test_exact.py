@@ -239,7 +239,7 @@ def plain_scan(text):
 
 
 def test_licenses(spark, documents, no_documents, small):
-    own = spark.createDataFrame([(1, "cc by nc cc by nc under the MIT license; apache-license, version 2 " * 50), (2, "Relased undr the MIT license"), (3, "All rigths reserved"), (4, "x" * 200_000)], "doc_id long, text string")
+    own = spark.createDataFrame([(1, "cc by nc cc by nc under the MIT license; apache-license, version 2 " * 50), (2, "Relased undr the MIT license"), (3, "All right reserved"), (4, "x" * 200_000)], "doc_id long, text string")
     for docs in (documents, small("documents"), own):
         texts = {r.doc_id: r.text for r in docs.collect()}
         rows = licenses.scan_licenses(docs).collect()
@@ -248,7 +248,7 @@ def test_licenses(spark, documents, no_documents, small):
             assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_scan(texts[r.doc_id])
             assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     found = {r.doc_id: r for r in licenses.scan_licenses(own).collect()}
-    assert found[2].labels == "mit" and found[2].base_labels == "" and found[3].labels == "all-rights-reserved" and found[3].spans[0].edits == 2
+    assert found[2].labels == "mit" and found[2].base_labels == "" and found[3].labels == "all-rights-reserved" and found[3].spans[0].edits == 1
     assert licenses.scan_licenses(no_documents).count() == 0
 
 
