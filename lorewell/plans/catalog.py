@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import corpus_queries, ledger_queries, retrieval_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """The best ten rows of each benchmark query by both legs, fused and reranked."""
+    return retrieval_queries.memory_search(spark, sf_dir)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries():
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
