@@ -25,13 +25,18 @@ def patch(stored: DataFrame, patches: DataFrame, key: str, merged: tuple[str, ..
     for c in names:
         new, old = F.col(f"_new_{c}"), F.col(c)
         if c in merged:
-            kept = F.map_filter(F.coalesce(old, F.create_map().cast(stored.schema[c].dataType)), lambda k, _, new=new: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))
-            rows = rows.withColumn(c, F.when(new.isNull(), old).otherwise(F.map_concat(kept, new)))
+            rows = rows.withColumn(c, merged_map(old, new, stored.schema[c].dataType))
         else:
             rows = rows.withColumn(c, F.coalesce(new, old))
     return rows.select(*stored.columns)
 
 
+def merged_map(old: Column, new: Column, kind) -> Column:
+    """The old entries that the new map lacks, and the new ones; a null new map changes nothing."""
+    kept = F.map_filter(F.coalesce(old, F.create_map().cast(kind)), lambda k, _: ~F.coalesce(F.map_contains_key(new, k), F.lit(False)))
+    return F.when(new.isNull(), old).otherwise(F.map_concat(kept, new))
+
+
 def bump(stored: DataFrame, uses: DataFrame) -> DataFrame:
     """access_count plus the number of distinct times each id was used; last_accessed_at moves with it."""
     counts = uses.groupBy("id").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
