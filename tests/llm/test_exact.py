@@ -307,7 +307,7 @@ def test_seats_stay_sound():
 
 def test_probabilities_sum_to_one(small):
     texts = small("documents").select("text").limit(60)
-    table = language_model.count_pairs(texts, 1).cache()
+    table = language_model.count_pairs(texts, (64, 2)).cache()
     steps = []
     for _ in range(3):
         steps.append(language_model.totals(table, steps))
@@ -324,3 +324,14 @@ def test_probabilities_sum_to_one(small):
         for k, t in enumerate(steps[1:]):
             total[k] += t.predictive(np.array([context]), np.zeros(1), np.zeros(1), t.root(np.zeros(1), np.zeros(1)))[0]
         assert total == pytest.approx(np.ones(2), abs=1e-6)
+
+
+def test_grid_grows_and_changes_no_score_but_the_samples(small, monkeypatch):
+    assert language_model.grid_for(0) == (64, 1) and language_model.grid_for(1 << 40) == (1024, 64)
+    docs = small("documents").limit(40)
+    rows = lambda: {r.doc_id: (r.n_known, round(r.base_score, 9), r.score) for r in language_model.score_documents(docs).collect()}
+    one = rows()
+    monkeypatch.setattr(language_model, "grid_for", lambda size: (64, 5))
+    many = rows()
+    assert {i: x[:2] for i, x in one.items()} == {i: x[:2] for i, x in many.items()}
+    assert all(abs(one[i][2] - many[i][2]) < 0.05 * abs(one[i][2]) for i in one)
