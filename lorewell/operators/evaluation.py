@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,18 @@ def sweep(scored: DataFrame, weights: DataFrame, expected: DataFrame) -> DataFra
     return hits.groupBy("weight").agg(F.sum(1.0 / F.col("rank")).alias("s")).join(F.broadcast(n)).select("weight", F.round(F.col("s") / F.col("n"), 6).alias("mrr"))
 
 
+def search(signals: DataFrame, weights: DataFrame, expected: DataFrame, score: Column) -> DataFrame:
+    """name, mrr of each of a few stated sets of weights: every pool is scored under each of them in one plan.
+
+    A caller that searches further makes the next sets from the best of these.
+    """
+    order = Window.partitionBy("name", "query_id").orderBy(F.desc(F.round(score, 6)), "id")
+    placed = signals.join(F.broadcast(weights)).withColumn("rank", F.row_number().over(order))
+    hits = placed.join(expected.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("name", "query_id").agg(F.min("rank").alias("rank"))
+    n = expected.select("query_id").distinct().agg(F.count("*").alias("n"))
+    return hits.groupBy("name").agg(F.sum(1.0 / F.col("rank")).alias("s")).join(F.broadcast(n)).select("name", F.round(F.col("s") / F.col("n"), 6).alias("mrr"))
+
+
 def consolidation(ranked: DataFrame, insights: DataFrame) -> DataFrame:
     """memory_id, outranks, gain: whether an insight stands above all its sources in a query's results, and by how
     much on average. insights: (query_id, memory_id, id of a source)."""

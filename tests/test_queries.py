@@ -39,7 +39,7 @@ def test_like_sql(spark, duck, name):
 
 
 def test_all_queries_have_sql_or_a_test():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"strike_ledger", "section_chunks", "question_index", "hybrid_parent_cap", "memory_search", "recall_at_k", "greedy_clusters"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"strike_ledger", "section_chunks", "question_index", "hybrid_parent_cap", "memory_search", "recall_at_k", "greedy_clusters", "subsequence_turns"}
 
 
 def test_section_chunks(spark, duck):
@@ -113,6 +113,16 @@ def test_greedy_clusters(spark, duck):
         assert {i: got[i][1] for i, _ in own} == {i: numbers.get(k) for i, k in at.items()}
 
 
+def test_subsequence_turns(spark):
+    from pyspark.sql import functions as F
+
+    from lorewell.operators import curation
+
+    assert {r.contained for r in catalog.queries()["subsequence_turns"](spark, SF).collect()} == {True}
+    df = spark.createDataFrame([(["a", "b", "a", "c"], ["a", "a", "c"]), (["a", "b"], ["b", "a"]), (["a"], []), ([], ["a"])], "w array<string>, p array<string>")
+    assert [r[0] for r in df.select(curation.contains_in_order(F.col("w"), F.col("p"))).collect()] == [True, False, True, False]
+
+
 def test_strikes(spark):
     from lorewell.operators import monitor
 
