@@ -133,6 +133,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
 
 
+def light_stem(word: Column) -> Column:
+    """An English word without its plural ending: -ies as -y, -es as -e, -s dropped, with the usual exceptions."""
+    return (
+        F.when(word.rlike(r"(?<![ae])ies$") & (F.length(word) > 4), F.regexp_replace(word, r"ies$", "y"))
+        .when(word.rlike(r"(?<![aeo])es$") & (F.length(word) > 3), F.regexp_replace(word, r"es$", "e"))
+        .when(word.rlike(r"(?<![us])s$") & (F.length(word) > 3) & ~word.rlike(r"ies$|es$"), F.regexp_replace(word, r"s$", ""))
+        .otherwise(word)
+    )
+
+
 def match_quote(quote: Column, source: Column) -> Column:
     """verbatim_exact if the quote stands in the source up to white space, verbatim_tokens if its words stand there
     one after the other, else null."""

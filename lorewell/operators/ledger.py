@@ -162,3 +162,35 @@ def spend(usage: DataFrame, prices: DataFrame, cap: float) -> DataFrame:
     cost = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price") + F.col("cached_tokens") * F.col("input_price") * 0.1) / 1e6
     priced = usage.join(prices, "model").withColumn("cost", cost).withColumn("running", F.sum(F.col("cost").cast("decimal(20,10)")).over(by_time).cast("double"))
     return priced.withColumn("allowed", F.round(F.col("running") - F.col("cost"), 9) < cap)
+
+
+def select_arrivals(rows: DataFrame, quotas: DataFrame, salient: int, per_channel: int) -> DataFrame:
+    """channel, id, why: the `salient` rows of greatest salience, at most `per_channel` of a channel, and of the rest
+    each channel's newest up to its quota (channel, quota)."""
+    own = Window.partitionBy("channel")
+    best = rows.withColumn("_n", F.row_number().over(own.orderBy(F.desc("salience"), "id"))).where(F.col("_n") <= per_channel)
+    first = best.orderBy(F.desc("salience"), "id").limit(salient).select("channel", "id", F.lit("salience").alias("why"))
+    left = rows.join(first.select("id"), "id", "left_anti").withColumn("_n", F.row_number().over(own.orderBy(F.desc("created_at"), "id")))
+    rest = left.join(quotas, "channel").where(F.col("_n") <= F.col("quota")).select("channel", "id", F.lit("share").alias("why"))
+    return first.unionByName(rest)
+
+
+def batches(turns: DataFrame, most_turns: int, most_characters: int) -> DataFrame:
+    """key, turn, in_batch: a key's next batch is its first turns while neither their number nor their length is above
+    its limit; the first turn is always in it."""
+    order = Window.partitionBy("key").orderBy("turn")
+    running = F.sum("characters").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.row_number().over(order)
+    return turns.select("key", "turn", ((n == 1) | ((n <= most_turns) & (running <= most_characters))).alias("in_batch"))
+
+
+def manifest(rows: DataFrame, key: str, line: Column, order: list[str]) -> DataFrame:
+    """key, text: a line for each row, in order."""
+    lines = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("ls"))
+    return lines.select(key, F.array_join(F.transform("ls", lambda s: s["line"]), "\n").alias("text"))
+
+
+def judging_order(items: DataFrame) -> DataFrame:
+    """Adds `place`: guaranteed ones first, then by the share of new rows, then as they came."""
+    order = Window.partitionBy("run_id").orderBy(F.desc("guaranteed"), F.desc("share"), "position")
+    return items.withColumn("place", F.row_number().over(order))

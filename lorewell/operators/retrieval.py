@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import light_stem
+
 #: What parts words: everything but letters, marks, digits and the underscore.
-NOT_WORD = r"[^\p{L}\p{M}\p{N}_\s]"
+NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 COMMON, K, PREFETCH = 0.05, 60, 40
 #: Weights of a term in the title and in the text.
 TITLE, BODY = 1.0, 0.4
@@ -32,21 +34,24 @@ OTHER_PROJECT, SUPERSEDED, STALE = -0.15, -0.20, -0.05
 
 def tokens(text: Column) -> Column:
     """Lower-case words; punctuation parts words."""
-    parts = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WORD, " ")), r"\s+")
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+
+
+def terms_in(text: Column, stem: bool) -> Column:
+    return F.transform(tokens(text), light_stem) if stem else tokens(text)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     """query_id, term, terms (their number): the distinct words of each query."""
-    return queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("ts")).select("query_id", F.size("ts").alias("terms"), F.explode("ts").alias("term"))
+    return queries.select("query_id", F.array_distinct(terms_in(F.col("text"), stem)).alias("ts")).select("query_id", F.size("ts").alias("terms"), F.explode("ts").alias("term"))
 
 
-def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
+def term_counts(rows: DataFrame, terms: DataFrame, stem: bool = False) -> DataFrame:
     """id, term, weight (of all its places in title and text) for the terms asked for, counted over whole texts.
 
     Texts meet the terms before they are counted, and counts are partly summed before they are shuffled.
     """
-    each = lambda c, w: rows.select("id", F.explode(tokens(F.col(c))).alias("term"), F.lit(w).alias("w"))
+    each = lambda c, w: rows.select("id", F.explode(terms_in(F.col(c), stem)).alias("term"), F.lit(w).alias("w"))
     wanted = terms.select("term").distinct()
     return each("title", TITLE).unionByName(each("content", BODY)).join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.sum("w").alias("weight"))
 
@@ -57,14 +62,14 @@ def common_terms(counts: DataFrame, total: Column | int, threshold: float = COMM
     return counts.groupBy("term").agg(share.alias("frequency")).where(F.col("frequency") > threshold)
 
 
-def lexical_leg(queries: DataFrame, rows: DataFrame, total: int, prefetch: int = PREFETCH) -> DataFrame:
+def lexical_leg(queries: DataFrame, rows: DataFrame, total: int, prefetch: int = PREFETCH, stem: bool = False) -> DataFrame:
     """query_id, id, pass, score, rank: rows with all terms of a query first, then rows with any that is not common.
 
     A pass's score is the summed weight of its terms over 1 + ln(characters), x, as x / (1 + x). A query of one term
-    has one pass.
+    has one pass. With `stem`, words are taken without plural endings.
     """
-    terms = query_terms(queries)
-    counts = term_counts(rows, terms)
+    terms = query_terms(queries, stem)
+    counts = term_counts(rows, terms, stem)
     common = common_terms(counts, total).select("term", F.lit(True).alias("common"))
     asked = terms.join(common, "term", "left").withColumn("rare", F.col("common").isNull() | (F.col("terms") == 1)).drop("common")
     hits = asked.join(counts, "term").groupBy("query_id", "id").agg(

@@ -112,3 +112,15 @@ def ids_in_text(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
     pattern = r"(?i)\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b"
     found = rows.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1)), F.lower))).alias("cited"))
     return found.join(known.select(F.col("id").alias("cited")), "cited", "left_semi").select("id", "cited")
+
+
+def archive_then_delete(stored: DataFrame, doomed: DataFrame, key: str, path: str) -> DataFrame:
+    """The rows without the doomed ones, which are first written to the path and counted there.
+
+    Fails if the archive is there already or does not hold as many rows as are to go.
+    """
+    gone = stored.join(doomed.select(key), key, "left_semi")
+    gone.write.mode("errorifexists").parquet(path)
+    if stored.sparkSession.read.parquet(path).count() != gone.count():
+        raise RuntimeError(f"the archive in {path} is not complete; nothing was deleted")
+    return stored.join(doomed.select(key), key, "left_anti")

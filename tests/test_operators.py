@@ -78,6 +78,14 @@ def test_lexical_passes(spark):
     assert got == [(1, 1, 1), (1, 3, 2), (1, 2, 2), (2, 4, 1)]
 
 
+def test_stems(spark):
+    words = ["queries", "aeries", "files", "shoes", "words", "gas", "class", "bus", "is", "été"]
+    assert column(spark, text.light_stem, words) == ["query", "aery", "file", "shoes", "word", "gas", "class", "bus", "is", "été"]
+    rows = spark.createDataFrame([(1, "t", "two queries"), (2, "t", "none")], "id long, title string, content string")
+    asked = spark.createDataFrame([(1, "query")], "query_id long, text string")
+    assert retrieval.lexical_leg(asked, rows, 2).count() == 0 and [r.id for r in retrieval.lexical_leg(asked, rows, 100, stem=True).collect()] == [1]
+
+
 def test_overlap(spark):
     df = spark.createDataFrame([(["conn", "a", "connections", "zzz"], ["connect", "b", "conne"])], "q array<string>, d array<string>")
     assert df.select(retrieval.overlap(F.col("q"), F.col("d"), retrieval.with_beginnings(F.col("d")))).first()[0] == 0.5
