@@ -22,7 +22,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0
 LOWEST = float("-inf")
 #: Stretches between spaces whose encoding a worker remembers, and the longest of them.
-MEMORY, LONGEST = 3 << 15, 64
+MEMORY, LONGEST = 1 << 18, 64
 #: Texts encoded at a time.
 ROWS = 256
 
