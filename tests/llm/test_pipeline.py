@@ -29,3 +29,13 @@ def test_stages(spark):
             assert words(docs) == mixing.mix_documents(before).agg(F.sum("taken")).first()[0]
     assert docs.count() == seen["mixing"].count() > 0 and docs.where("NOT exact").count() == 0
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_stages_on_odd_and_no_rows(spark, documents, no_documents):
+    sf = "/root/testdata/sf0.001"
+    for docs, least in ((documents, 1), (no_documents, 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            assert out.count() >= least and (least or out.count() == 0)
