@@ -25,7 +25,7 @@ WEIGHT = 5.0
 #: Fixed phrases in which those words are harmless.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "class clown", "clown fish", "pond scum")
 #: Fixed lookalikes of Latin letters: Cyrillic, then Greek.
-LOOKALIKES = dict(zip("абвгеёзіїјкморсѕтухһԁԛԝαβεικνορτυχ", "abbreeziijkmopcstyxhdqwabeiknoptux", strict=False)) | {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b"}
+LOOKALIKES = dict(zip("авеёкмнорстухѕіїјһԁԛԝ" + "αβεικνορτυχ", "abeekmhopctyxsiijhdqw" + "abeikvoptux", strict=True))
 #: Fixed substitutions inside words that have letters.
 DIGITS = str.maketrans("013457@$", "oieastas")
 #: Prefixes of words that may become terms, and how often a term must stand in toxic training texts.
