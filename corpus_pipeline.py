@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import mixing, pieces, quality, simhash, toxicity
+from lorewell.llm import mixing, pieces, quality, resemblance, toxicity
 from lorewell.llm.catalog import MODEL
 from lorewell.llm.shared import cut, read
 
@@ -26,8 +26,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document, of smallest doc_id, of each group of near-duplicates: 0.8 or more of the five-word shingles."""
+    return resemblance.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

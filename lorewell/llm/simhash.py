@@ -39,14 +39,37 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(((2 * ones > len(starts)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit the majority of hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(((2 * ones > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+
+
+def fold_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, columns) of consecutive rows whose first `keys` columns agree."""
+    at, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[:keys] != at:
+                if held:
+                    yield at, [list(c) for c in zip(*held, strict=True)]
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield at, [list(c) for c in zip(*held, strict=True)]
+
+
 def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
+    """The columns but text, with fp (the fingerprint's 64 bits as a long)."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
 
-    return small_batches(documents).select("doc_id", of("text").alias("fp"))
+    return small_batches(documents).select(*[c for c in documents.columns if c != "text"], of("text").alias("fp"))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -173,6 +196,14 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return keys.repartition("key").mapInArrow(meet, "a long, b long")
 
 
+def rooted_fingerprints(documents: DataFrame, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The columns but text with fp; and fp, first (its smallest doc_id), root (the fingerprint that links lead to)."""
+    docs = cut(fingerprints(documents, width), "fingerprints")
+    first = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+    roots = components(cut(near_links(first, distance), "links"))
+    return docs, first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
@@ -182,17 +213,28 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, distance: int = DI
     shingle is one shingle. Repeated rows stay; a null doc_id is never a component_id unless the component has no
     other. Further columns are ignored.
     """
-    docs = cut(fingerprints(documents, width), "fingerprints")
-    first = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
-    roots = components(cut(near_links(first, distance), "links"))
-    rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    docs, rooted = rooted_fingerprints(documents.select("doc_id", "text"), width, distance)
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     groups = cut(rooted.join(least, "root").select("fp", "component_id"), "groups")
     return docs.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_least(documents: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of each component of `grouped` (doc_id, text_hash, component), with all columns of the documents.
+
+    It is one of smallest doc_id, null last, and then of smallest text_hash (xxhash64 of the text); of rows that
+    repeat both, one.
+    """
+    id, text = free_name(documents, "kept"), free_name(documents, "kept_hash")
+    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_least"))
+    least = least.select(F.col("_least.doc_id").alias(id), F.col("_least.text_hash").alias(text))
+    both = documents.join(least, F.col("doc_id").eqNullSafe(F.col(id)) & (F.xxhash64("text") == F.col(text)))
+    return both.dropDuplicates([id, text]).drop(id, text)
+
+
 def one_of_each(documents: DataFrame, width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
-    """The documents that stand for their groups, with all their columns; of rows that repeat such an id, one."""
-    kept = free_name(documents, "kept")
-    ids = near_duplicates(documents, width, distance).where("doc_id <=> component_id").select(F.col("doc_id").alias(kept)).distinct()
-    return documents.join(ids, F.col("doc_id").eqNullSafe(F.col(kept))).drop(kept).dropDuplicates(["doc_id"])
+    """One document of smallest doc_id of each group, with all its columns; the group decides, not the id, so that
+    different texts under a repeated or null doc_id all stay."""
+    hashed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    docs, roots = rooted_fingerprints(hashed, width, distance)
+    return keep_least(documents, docs.join(roots.select("fp", F.col("root").alias("component")), "fp"))
