@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import SPACE, WORD
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, EPOCHS, SEED = 1.5, 2.0, "mix-1"
+#: Parts of each source that are put in order by themselves.
+BUCKETS = 1024
 
 
 def words(text: Column) -> Column:
@@ -78,22 +80,37 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
 
 
 def take(documents: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of the input: each whole repetition is a row, and so is the fractional one.
+    """The mix itself, with the columns of the input: each repetition of a document is a row with its whole text.
 
-    The fractional repetition is a run of consecutive words from a seeded place on, space-joined; n_chars, if the
-    column is there, is set to its length.
+    A source at rate r gives all its documents floor(r) times, and once more those that come first in a seeded
+    order, up to the words that mix() takes from the source. Only the document at that boundary is cut: its
+    beginning fills up the words, with the white space of its text, and n_chars, if the column is there, is set to
+    its length. The order is dealt out in BUCKETS of each source; only their sums go through a window of the source.
     """
     seed = options.get("seed", SEED)
     slim = documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "source", "text")
-    mixed = mix(slim, **options)
-    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
-    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
-    run = F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))
-    rows = mixed.withColumn("_rep", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), run)))
-    start = F.floor(chance(F.col("doc_id"), seed + ":start") * (F.col("_size") - F.col("_rep") + 1))
-    piece = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1)), (start + 1).cast("int"), F.col("_rep").cast("int")), " ")
-    text = F.when(F.col("_rep") > 0, piece).otherwise(F.col("text"))
-    changed = {"text": text}
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
+    rate = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)
+    mixed = (
+        mix(slim, **options)
+        .select("_row", "_size", "_taken", rate.cast("long").alias("_whole"), hashed.alias("_order"), F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none"))
+        .withColumn("_bucket", F.pmod("_order", F.lit(BUCKETS)))
+    )
+    place = ["_name", "_none", "_bucket"]
+    sums = mixed.groupBy(*place).agg(F.sum("_size").alias("_words"), F.sum(F.col("_taken") - F.col("_whole") * F.col("_size")).alias("_extra"))
+    source = Window.partitionBy("_name", "_none")
+    before = F.coalesce(F.sum("_words").over(source.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sums.select(*place, before.alias("_before"), F.sum("_extra").over(source).alias("_room"))
+    within = Window.partitionBy(*place).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = mixed.withColumn("_running", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(ahead, place)
+    left = F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.col("_before") - F.col("_running")))
+    dealt = dealt.withColumn("_left", left)
+    whole = F.when(F.col("_size") > 0, F.col("_whole") + (F.col("_left") == F.col("_size")).cast("long")).otherwise(0).cast("int")
+    part = F.when((F.col("_left") > 0) & (F.col("_left") < F.col("_size")), F.array("_left")).otherwise(F.array().cast("array<bigint>"))
+    rows = dealt.withColumn("_rep", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), part)))
+    text = F.col("_row")["text"]
+    piece = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"((?:{SPACE})?{WORD})"), F.lit(1)), F.lit(1), F.col("_rep").cast("int")), "")
+    changed = {"text": F.when(F.col("_rep") > 0, piece).otherwise(text)}
     if "n_chars" in documents.columns:
         changed["n_chars"] = F.when(F.col("_rep") > 0, F.length(piece)).otherwise(F.col("_row")["n_chars"]).cast(documents.schema["n_chars"].dataType)
     return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in documents.columns])
