@@ -54,6 +54,7 @@ class Model:
 
     def __init__(self, width: int = len(NAMES)) -> None:
         self.mean, self.scale, self.weights, self.bias = np.zeros(width), np.ones(width), np.zeros(width), 0.0
+        self.fitted = False
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -110,20 +111,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return -negative if left < 0 else -prior * (p * sigmoid(-a)[:, None]).mean(0) + negative
 
     _descend(model, gradient)
+    model.fitted = True
     return model
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     """The model of the rows whose fold is not held out.
 
-    Positives: documents that all their labels call 1. Unlabelled: documents without a label. Of either kind the
-    `sample` rows with the smallest hash of the doc_id are used; their ids alone are broadcast.
+    Positives: documents that all their labels call 1. Unlabelled: documents without a label; if every document
+    has one, all of these rows, whatever their labels, stand for the unlabelled. Of either kind the `sample` rows
+    with the smallest hash of the doc_id are used; their ids alone are broadcast.
     """
     learn = documents.select("doc_id").where(fold(F.col("doc_id"), folds) != held_out)
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    known = learn.join(marked, "doc_id", "left").select("doc_id", F.when(F.col("_quality") == 1, 1).when(F.col("_quality").isNull(), 0).alias("_kind")).where("_kind IS NOT NULL AND doc_id IS NOT NULL")
+    kinds = learn.join(marked, "doc_id", "left").select("doc_id", F.when(F.col("_quality") == 1, 1).when(F.col("_quality").isNull(), 0).alias("_kind")).where("doc_id IS NOT NULL")
+    known = kinds.where("_kind IS NOT NULL")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("_kind = 1").orderBy(*order).limit(sample).unionByName(known.where("_kind = 0").orderBy(*order).limit(sample)).distinct()
+    unlabelled = known.where("_kind = 0")
+    if unlabelled.isEmpty():
+        unlabelled = kinds.select("doc_id", F.lit(0).alias("_kind"))
+    picked = known.where("_kind = 1").orderBy(*order).limit(sample).unionByName(unlabelled.orderBy(*order).limit(sample)).distinct()
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
@@ -146,7 +153,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, **options) -> DataF
     """doc_id, held_out, score, predicted of every document.
 
     The score depends on the text alone. A null text counts as empty; empty texts are scored like any other. With
-    no labels or no documents to learn from every score is 0.5. Repeated rows stay; further columns are ignored.
+    no trusted positive or no documents to learn from every score is 0.5. Repeated rows stay; further columns are ignored.
     """
     folds, held = options.get("folds", FOLDS), options.get("held_out", HELD_OUT)
     score = scorer(train(documents, labels, **options))
@@ -155,6 +162,6 @@ def score_documents(documents: DataFrame, labels: DataFrame, **options) -> DataF
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    score = scorer(train(documents, labels, **options))
-    return small_batches(documents).where(score("text") >= threshold)
+    """The documents that the classifier accepts, with all their columns; all, if there is no positive to learn from."""
+    model = train(documents, labels, **options)
+    return small_batches(documents).where(scorer(model)("text") >= threshold) if model.fitted else documents
