@@ -88,21 +88,18 @@ def take(documents: DataFrame, **options) -> DataFrame:
     its length. The order is dealt out in BUCKETS of each source; only their sums go through a window of the source.
     """
     seed = options.get("seed", SEED)
-    slim = documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "source", "text")
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rate = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)
-    mixed = (
-        mix(slim, **options)
-        .select("_row", "_size", "_taken", rate.cast("long").alias("_whole"), hashed.alias("_order"), F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none"))
-        .withColumn("_bucket", F.pmod("_order", F.lit(BUCKETS)))
-    )
+    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    keys = {"_order": order, "_name": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_bucket": F.pmod(order, F.lit(BUCKETS))}
     place = ["_name", "_none", "_bucket"]
-    sums = mixed.groupBy(*place).agg(F.sum("_size").alias("_words"), F.sum(F.col("_taken") - F.col("_whole") * F.col("_size")).alias("_extra"))
+    rate = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0).cast("long")
+    mixed = mix(documents.select("doc_id", "source", "text").withColumns(keys), **options).withColumn("_whole", rate)
+    sums = mixed.groupBy(*place).agg(F.max("_whole").alias("_whole"), F.sum("_size").alias("_words"), F.sum(F.col("_taken") - F.col("_whole") * F.col("_size")).alias("_extra"))
     source = Window.partitionBy("_name", "_none")
     before = F.coalesce(F.sum("_words").over(source.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = sums.select(*place, before.alias("_before"), F.sum("_extra").over(source).alias("_room"))
+    ahead = sums.select(*place, "_whole", before.alias("_before"), F.sum("_extra").over(source).alias("_room"))
     within = Window.partitionBy(*place).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = mixed.withColumn("_running", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(ahead, place)
+    whole_rows = documents.select(F.struct(*documents.columns).alias("_row"), words(F.col("text")).alias("_size"), *[c.alias(n) for n, c in keys.items()])
+    dealt = whole_rows.withColumn("_running", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(ahead, place)
     left = F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.col("_before") - F.col("_running")))
     dealt = dealt.withColumn("_left", left)
     whole = F.when(F.col("_size") > 0, F.col("_whole") + (F.col("_left") == F.col("_size")).cast("long")).otherwise(0).cast("int")

@@ -47,15 +47,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """The columns but text, with id (of the set of shingles), fp, bands and n, and the set itself as bytes."""
+    """The columns but text, with id (of the set of shingles), fp, bands and n (the set's size)."""
 
-    @F.pandas_udf("id long, fp long, bands array<long>, n long, shingles binary")
+    @F.pandas_udf("id long, fp long, bands array<long>, n long")
     def describe(batch: pd.Series) -> pd.DataFrame:
-        rows = []
-        for own in map(shingles, batch):
-            data = own.tobytes()
-            rows.append((xxhash.xxh64_intdigest(data, SEED), majority(own), bands(own).view(np.int64), len(own), data))
-        out = pd.DataFrame(rows, columns=["id", "fp", "bands", "n", "shingles"])
+        rows = [(xxhash.xxh64_intdigest(own.tobytes(), SEED), majority(own), bands(own).view(np.int64), len(own)) for own in map(shingles, batch)]
+        out = pd.DataFrame(rows, columns=["id", "fp", "bands", "n"])
         return out.assign(id=out["id"].to_numpy(np.uint64).view(np.int64), fp=out["fp"].to_numpy(np.uint64).view(np.int64))
 
     return small_batches(texts).withColumn("_of", describe("text")).drop("text").select("*", "_of.*").drop("_of")
@@ -97,25 +94,28 @@ def links(fps: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], left: np.nda
                 yield int(ids[x]), int(ids[y])
 
 
-def near_links(sets: DataFrame) -> DataFrame:
+def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between ids of sets: enough to connect all candidates that an exact check finds similar.
 
-    Sets meet in the components of the candidates. A component with many sets or shingles is dealt out in blocks,
-    of which each is held against each, so that no task needs a component whole.
+    sets: (id, fp, bands, n, doc_id, text_hash), the last two of a text that has the set; texts: (doc_id, text_hash,
+    text). Sets meet in the components of the candidates, and only those that meet another bring their text. A
+    component with many sets or shingles is dealt out in blocks, of which each is held against each, so that no task
+    needs a component whole.
     """
     roots = components(cut(candidates(sets), "candidates"))
-    rooted = sets.drop("bands").join(roots, sets.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    rooted = cut(rooted, "rooted")
+    rooted = cut(sets.drop("bands").join(roots, sets.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "rooted")
     sizes = rooted.groupBy("root").agg(F.count("*").alias("_sets"), F.sum("n").alias("_n")).where("_sets > 1")
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_n") / BLOCK_SHINGLES)).cast("int")
-    dealt = rooted.join(sizes.select("root", blocks.alias("_blocks")), "root").withColumn("_own", F.pmod("id", "_blocks").cast("int"))
+    meeting = rooted.join(sizes.select("root", blocks.alias("_blocks")), "root").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    read = texts.join(meeting, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    dealt = read.dropDuplicates(["id"]).withColumn("_own", F.pmod("id", "_blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    cells = dealt.withColumn("_other", other).select("root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "fp", "shingles")
+    cells = dealt.withColumn("_other", other).select("root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "fp", "text")
 
     def meet(batches):
-        for (_, i, j), (own, ids, fps, data) in fold_rows(batches, 3):
+        for (_, i, j), (own, ids, fps, texts) in fold_rows(batches, 3):
             own, ids = np.array(own), np.array(ids, np.int64)
-            sets = [np.frombuffer(x, np.uint64) for x in data]
+            sets = [shingles(t) for t in texts]
             found = list(links(np.array(fps, np.int64).view(np.uint64), ids, sets, own == i, own == j))
             if found:
                 a, b = zip(*found, strict=True)
@@ -126,9 +126,12 @@ def near_links(sets: DataFrame) -> DataFrame:
 
 def components_of(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, component (of the sets of shingles) of every document; texts without words are one set."""
-    told = cut(described(documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")), "described")
-    sets = cut(told.select("id", "fp", "bands", "n", "shingles").dropDuplicates(["id"]), "sets")
-    roots = components(cut(near_links(sets), "links"))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    told = cut(described(texts), "described")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("_least")
+    sets = told.groupBy("id").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n"), least)
+    sets = cut(sets.select("id", "fp", "bands", "n", "_least.*"), "sets")
+    roots = components(cut(near_links(sets, texts), "links"))
     return told.select("doc_id", "text_hash", "id").join(roots, told.id == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("component"))
 
 
