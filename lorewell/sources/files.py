@@ -123,7 +123,7 @@ def bookmarks(spark: SparkSession, path: str) -> DataFrame:
 WORD, SHEET, SLIDE = ("{http://schemas.openxmlformats.org/" + s + "}" for s in ("wordprocessingml/2006/main", "spreadsheetml/2006/main", "drawingml/2006/main"))
 
 
-def package_text(data: bytes, most: int = 1_000_000) -> str:
+def package_text(data: bytes) -> str:
     """Text of a docx, xlsx or pptx package: headings with #, table rows with bars, slides in their order."""
     out: list[str] = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -154,7 +154,7 @@ def package_text(data: bytes, most: int = 1_000_000) -> str:
             for name in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number):
                 out.append(f"## Slide {number(name)}")
                 out += ["".join(t.text or "" for t in p.iter(f"{SLIDE}t")) for p in root(name).iter(f"{SLIDE}p")]
-    return "\n".join(line for line in out if line.strip())[:most]
+    return "\n".join(line for line in out if line.strip())
 
 
 def office_packages(spark: SparkSession, path: str) -> DataFrame:

@@ -91,6 +91,13 @@ def test_office(spark, tmp_path):
     assert got == {"a.docx": "## Head\ntext\n| c1 | c2 |", "b.xlsx": "| shared | 3.5 | TRUE |", "c.pptx": "## Slide 2\nslide 2 text\n## Slide 10\nslide 10 text", "d.docx": None}
 
 
+def test_long_office_text_is_whole(tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>{'x' * 1_000_000} end</w:t></w:r></w:p></w:body></w:document>")
+    assert files.package_text((tmp_path / "a.docx").read_bytes()) == "x" * 1_000_000 + " end"
+
+
 def test_sqlite(spark, tmp_path):
     with sqlite3.connect(tmp_path / "s.db") as db:
         db.execute("CREATE TABLE facts (id INTEGER, name TEXT)")
