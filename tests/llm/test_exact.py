@@ -1,6 +1,5 @@
 """Operators held against plain versions on small data, odd rows included."""
 
-import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,10 +7,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from lorewell.llm import components, embedding_dedup, language_model, licenses, mixing, pieces, sharding, simhash, topk
+from lorewell.llm import components, embedding_dedup, licenses, mixing, pieces, sharding, simhash, topk
+from lorewell.llm.shared import LOWER
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LOWER = language_model.LOWER
 
 
 def groups(pairs, nodes):
@@ -265,73 +264,3 @@ def test_fuzzy_matches_are_all_found():
                     del text[at]
             line = "some words " + "".join(text) + " and more"
             assert label in {x[2] for x in s.fuzzy(line)}, (notice, line)
-
-
-def test_language_model(documents, no_documents, small):
-    for docs in (documents, small("documents")):
-        rows, scores = docs.collect(), defaultdict(list)
-        for r in language_model.score_documents(docs).collect():
-            scores[r.doc_id].append(r)
-        tokens = lambda text: (text or "").encode().translate(LOWER).split() + [None]
-        out = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 5 == 1
-        counts = Counter(t for r in rows if not out(r.doc_id) for t in tokens(r.text))
-        n, v = sum(counts.values()), len(counts)
-        assert sum(map(len, scores.values())) == len(rows)
-        for r in rows:
-            t = tokens(r.text)
-            base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)
-            for s in scores[r.doc_id]:
-                assert (s.held_out, s.n_tokens, s.n_known, s.train_tokens) == (out(r.doc_id), len(t), sum(counts[x] > 0 for x in t), n)
-                assert s.base_score == pytest.approx(base, rel=1e-9) and s.score < 0
-    by = {r.held_out: r for r in language_model.perplexity(language_model.score_documents(small("documents"))).collect()}
-    assert by[True].perplexity < by[True].base_perplexity
-    again = [sorted(map(str, language_model.score_documents(small("documents").repartition(k)).select("doc_id", "score").collect())) for k in (1, 1)]
-    assert again[0] == again[1] and language_model.score_documents(no_documents).count() == 0
-
-
-def test_seats_stay_sound():
-    rng, counts = np.random.default_rng(0), np.array([5, 1, 9, 0, 2])
-    seats, movable = language_model.Seats(counts), np.array([0, 2, 4])
-    tables = []
-    for _ in range(4000):
-        seats.leave_one(movable, rng)
-        assert (seats.customers() == counts - np.isin(np.arange(5), movable)).all()
-        seats.enter(movable, np.full(3, 0.8), 0.5, rng)
-        assert (seats.customers() == counts).all() and (seats.size > 0).all() and (np.diff(seats.owner) >= 0).all()
-        tables.append(seats.tables()[4])
-    # two customers: apart with weight 0.8 against 0.5 for the other's table
-    assert np.mean(np.array(tables) == 2) == pytest.approx(0.8 / 1.3, abs=0.04)
-    seats.leave(np.array([2, 0, 9, 0, 1]), rng)
-    assert seats.customers().tolist() == [3, 1, 0, 0, 1]
-
-
-def test_probabilities_sum_to_one(small):
-    texts = small("documents").select("text").limit(60)
-    table = language_model.count_pairs(texts, (64, 2)).cache()
-    steps = []
-    for _ in range(3):
-        steps.append(language_model.totals(table, steps))
-    blobs = table.collect()
-    for context in (0, 17, int(np.argmax(steps[0].customers))):
-        total = np.zeros(2)
-        for b in blobs:
-            own = language_model.Range(b.bucket, b.part, [bytes(b.data)])
-            for k, (t, (tables, customers, root_tables)) in enumerate(zip(steps[1:], list(own.states(steps[:-1]))[1:], strict=True)):
-                here = np.flatnonzero(own.context == context)
-                hits, seats = np.zeros(len(own.words)), np.zeros(len(own.words))
-                hits[own.word[here]], seats[own.word[here]] = own.count[here], tables[here]
-                total[k] += t.predictive(np.full(len(own.words), context), hits, seats, t.root(customers, root_tables)).sum()
-        for k, t in enumerate(steps[1:]):
-            total[k] += t.predictive(np.array([context]), np.zeros(1), np.zeros(1), t.root(np.zeros(1), np.zeros(1)))[0]
-        assert total == pytest.approx(np.ones(2), abs=1e-6)
-
-
-def test_grid_grows_and_changes_no_score_but_the_samples(small, monkeypatch):
-    assert language_model.grid_for(0) == (64, 1) and language_model.grid_for(1 << 40) == (1024, 64)
-    docs = small("documents").limit(40)
-    rows = lambda: {r.doc_id: (r.n_known, round(r.base_score, 9), r.score) for r in language_model.score_documents(docs).collect()}
-    one = rows()
-    monkeypatch.setattr(language_model, "grid_for", lambda size: (64, 5))
-    many = rows()
-    assert {i: x[:2] for i, x in one.items()} == {i: x[:2] for i, x in many.items()}
-    assert all(abs(one[i][2] - many[i][2]) < 0.05 * abs(one[i][2]) for i in one)
