@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,23 +39,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, files: int, key: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
-    """Writes the rows to the shared folder, dealt into files by the key, and reads them again; and what drops them.
-
-    Later steps that group or join by the key find the rows of each in one task and don't shuffle them again.
-    """
-    spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(files, key).write.format("parquet").bucketBy(files, key).option("path", path).saveAsTable(table)
-    written = spark.table(table)
-
-    def drop() -> None:
-        drop_table(written)
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-
-    return written, drop
-
-
 def drop_table(df: DataFrame) -> None:
     """Deletes a table that cut() made, once nothing reads it any more."""
     jvm = df.sparkSession._jvm
