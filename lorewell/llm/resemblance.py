@@ -1,4 +1,9 @@
-"""Groups of documents that share four fifths of their five-word shingles: candidates by MinHash bands and SimHash, then an exact check."""
+"""Groups of documents that share four fifths of their five-word shingles: SimHash candidates by pigeonring filtering and
+by MinHash bands, then an exact check.
+
+Pigeonring filtering alone would need a distance of about 20 of 64 bits to find pairs at four fifths, at which no key
+is selective any more; so it finds the close pairs, and bands the others.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import LOWER, cut, small_batches
-from .simhash import SEED, fold_rows, forest, keep_least, majority
+from .simhash import DISTANCE, SEED, fold_rows, keep_least, majority
+from .simhash import near_links as pigeonring_links
 
 WIDTH, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
@@ -58,8 +64,47 @@ def described(texts: DataFrame) -> DataFrame:
     return small_batches(texts).withColumn("_of", describe("text")).drop("text").select("*", "_of.*").drop("_of")
 
 
+def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect exactly what all links between these fingerprints connect, at most about two for each.
+
+    A fingerprint that is in no ball yet becomes a hub and takes in all within the distance; every hub has thus
+    been held against all. What is left are links between members of balls that are still apart.
+    """
+    n = len(fps)
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b, held, hub = [], [], np.zeros(n, bool), np.zeros(n, bool)
+
+    def join(x: int, others: np.ndarray) -> None:
+        for y in others.tolist():
+            if (r := root(x)) != (s := root(y)):
+                parent[max(r, s)] = min(r, s)
+                a.append(x)
+                b.append(y)
+
+    for x in range(n):
+        if not held[x]:
+            ball = np.bitwise_count(fps ^ fps[x]) <= distance
+            hub[x], held = True, held | ball
+            join(x, np.flatnonzero(ball))
+    rest = np.flatnonzero(~hub)
+    group = np.array([root(x) for x in rest.tolist()], np.int64)
+    if len(set(group.tolist())) > 1:
+        values, sizes = np.unique(group, return_counts=True)
+        for x in rest[group != values[sizes.argmax()]].tolist():
+            join(x, rest[np.bitwise_count(fps[rest] ^ fps[x]) <= distance])
+    return fps[np.array(a, np.int64)], fps[np.array(b, np.int64)]
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints that share a band and are within RADIUS; of each band's key a spanning forest."""
+    """Links (a, b) between fingerprints that are within SimHash's DISTANCE, found by pigeonring filtering, or that share
+    a band and are within RADIUS; of each band's key a spanning forest."""
 
     def meet(batches):
         for keys, columns in fold_rows(batches, 1):
@@ -69,7 +114,8 @@ def candidates(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     keys = sets.select(F.explode("bands").alias("key"), "fp").distinct()
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    banded = keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return banded.unionByName(pigeonring_links(sets.select("fp"), DISTANCE)).distinct()
 
 
 def links(fps: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -17,8 +17,8 @@ from .shared import LOWER, cut, free_name, small_batches
 WIDTH, DISTANCE, SEED = 4, 4, 42
 #: Shingles whose hashes are held at a time.
 CHUNK = 1 << 16
-#: Candidate pairs held at a time, and pairs of a key from which its fingerprints are linked by a spanning forest.
-PAIRS, FOREST = 1 << 20, 64
+#: Candidate pairs held at a time, rows of a key held at a time, and indexed fingerprints of a key that one task takes.
+PAIRS, ROWS, BLOCK = 1 << 20, 1 << 17, 1 << 14
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -85,17 +85,20 @@ def keyed(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.nd
     By the pigeonring principle fingerprints at `distance` or fewer bits have, with m = distance + 1 segments on a
     ring, a segment from which every chain of l consecutive segments differs in at most l x distance / m bits:
     none in the first segment and one at most in the first two. So a key is a segment's place, its bits and those
-    of the next segment; a probe also tries each single-bit change of the next segment.
+    of the next segment; a probe also tries the next segment with one of its ones cleared. Of two that differ in one
+    bit there, one has it set, and finds the other.
     """
     out, segs = [], segments(distance)
     for i, (shift, bits) in enumerate(segs):
         after, size = segs[(i + 1) % len(segs)]
         first = (fps >> np.uint64(shift)) & np.uint64(2**bits - 1)
         second = (fps >> np.uint64(after)) & np.uint64(2**size - 1)
-        key = (first << np.uint64(size) | second) * np.uint64(len(segs)) + np.uint64(i)
-        flips = np.array([0, *(1 << b for b in range(size))], np.uint64)
-        near = (first[:, None] << np.uint64(size) | (second[:, None] ^ flips[None, :])) * np.uint64(len(segs)) + np.uint64(i)
-        out += [(key, fps, np.zeros(len(fps), bool)), (near.ravel(), np.repeat(fps, len(flips)), np.ones(near.size, bool))]
+        of = lambda first, second: (first << np.uint64(size) | second) * np.uint64(len(segs)) + np.uint64(i)  # noqa: B023, E731
+        key = of(first, second)
+        out += [(key, fps, np.zeros(len(fps), bool)), (key, fps, np.ones(len(fps), bool))]
+        for b in range(size):
+            one = (second >> np.uint64(b) & np.uint64(1)).astype(bool)
+            out.append((of(first[one], second[one] ^ np.uint64(1 << b)), fps[one], np.ones(one.sum(), bool)))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -111,89 +114,123 @@ def chained(difference: np.ndarray, start: np.ndarray, distance: int) -> np.ndar
     return ok
 
 
-def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect exactly what all links between these fingerprints connect, at most about two for each.
-
-    A fingerprint that is in no ball yet becomes a hub and takes in all within the distance; every hub has thus
-    been held against all. What is left are links between members of balls that are still apart.
+def crowded(index: np.ndarray, probes: np.ndarray, start: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect exactly what all links between indexed fingerprints and probes of one key connect, fewer than
+    there are fingerprints. A probe is held against those that aren't connected with it yet, chain by chain.
     """
-    n = len(fps)
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    a, b, held, hub = [], [], np.zeros(n, bool), np.zeros(n, bool)
-
-    def join(x: int, others: np.ndarray) -> None:
-        for y in others.tolist():
-            if (r := root(x)) != (s := root(y)):
-                parent[max(r, s)] = min(r, s)
-                a.append(x)
-                b.append(y)
-
-    for x in range(n):
-        if not held[x]:
-            ball = np.bitwise_count(fps ^ fps[x]) <= distance
-            hub[x], held = True, held | ball
-            join(x, np.flatnonzero(ball))
-    rest = np.flatnonzero(~hub)
-    group = np.array([root(x) for x in rest.tolist()], np.int64)
-    if len(set(group.tolist())) > 1:
-        values, sizes = np.unique(group, return_counts=True)
-        for x in rest[group != values[sizes.argmax()]].tolist():
-            join(x, rest[np.bitwise_count(fps[rest] ^ fps[x]) <= distance])
-    return fps[np.array(a, np.int64)], fps[np.array(b, np.int64)]
+    every = np.unique(np.concatenate([index, probes]))
+    label, own = np.arange(len(every)), np.searchsorted(every, index)
+    shift, bits = segments(distance)[(start + 2) % (distance + 1)]
+    third = 3 * distance // (distance + 1)
+    a, b = [], []
+    for x, at in zip(probes, np.searchsorted(every, probes).tolist(), strict=True):
+        left = np.flatnonzero(label[own] != label[at])
+        difference = index[left] ^ x
+        left = left[np.bitwise_count(difference >> np.uint64(shift) & np.uint64(2**bits - 1)) <= third]
+        difference = index[left] ^ x
+        left = left[chained(difference, np.full(len(left), start), distance)]
+        if len(left):
+            old, one = np.unique(label[own[left]], return_index=True)
+            a += [x] * len(old)
+            b += index[left[one]].tolist()
+            label[np.isin(label, old)] = label[at]
+            if (label[own] == label[at]).all() and (label == label[at]).all():
+                break
+    return np.array(a, np.uint64), np.array(b, np.uint64)
 
 
 def linked(key: np.ndarray, fps: np.ndarray, probe: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among the rows of whole keys: all of a small key's, those of a spanning forest for a large one."""
+    """Links among the rows of whole keys: all of a small key's, and of one with more pairs than are held at a time
+    enough to connect the same."""
+    if not len(key):
+        return
     order = np.lexsort((probe, key))
     key, fps, probe = key[order], fps[order], probe[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     last = np.r_[first[1:], len(key)]
-    probes = np.add.reduceat(probe.astype(np.int64), first) if len(key) else first
+    probes = np.add.reduceat(probe.astype(np.int64), first)
     split = last - probes
     work = (split - first) * probes
-    for k in np.flatnonzero(work > FOREST).tolist():
-        yield forest(np.unique(fps[first[k] : last[k]]), distance)
-    small = np.flatnonzero((work > 0) & (work <= FOREST))
+    start = (key[first] % np.uint64(distance + 1)).astype(np.int64)
+    for k in np.flatnonzero(work > PAIRS).tolist():
+        yield crowded(fps[first[k] : split[k]], fps[split[k] : last[k]], int(start[k]), distance)
+    small = np.flatnonzero((work > 0) & (work <= PAIRS))
     bounds = np.r_[0, np.flatnonzero(np.diff(np.cumsum(work[small]) // PAIRS)) + 1, len(small)]
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         g = small[lo:hi]
         which = np.repeat(g, work[g])
         at = np.arange(len(which)) - np.repeat(np.cumsum(work[g]) - work[g], work[g])
         x, y = fps[first[which] + at // probes[which]], fps[split[which] + at % probes[which]]
-        keep = x < y
+        keep = x != y
         x, y, which = x[keep], y[keep], which[keep]
-        ok = chained(x ^ y, (key[first[which]] % np.uint64(distance + 1)).astype(np.int64), distance)
-        x, y = x[ok], y[ok]
-        near = np.bitwise_count(x ^ y) <= distance
-        yield x[near], y[near]
+        ok = chained(x ^ y, start[which], distance)
+        yield x[ok], y[ok]
+
+
+def met(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among rows (place, fingerprint, is it a probe) in the order of place, indexed ones first.
+
+    Whole places are taken together; of one with more than ROWS rows only the indexed ones, a block, stay in memory,
+    while the probes go by. place: key and block in two columns of equal rows.
+    """
+    held: tuple[np.ndarray, ...] | None = None
+    for part in rows:
+        now = part if held is None else tuple(np.concatenate(c) for c in zip(held, part, strict=True))
+        key, block, fps, probe = now
+        same = (key == key[-1]) & (block == block[-1]) if len(key) else np.zeros(0, bool)
+        at = len(key) - int(same[::-1].argmin()) if len(key) and not same.all() else 0
+        yield from linked_places(*(c[:at] for c in now), distance)
+        held = tuple(c[at:] for c in now)
+        if len(held[0]) > ROWS and held[3][-1]:
+            yield from linked_places(*held, distance)
+            held = tuple(c[~held[3]] for c in held)
+    if held is not None:
+        yield from linked_places(*held, distance)
+
+
+def linked_places(key, block, fps, probe, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """linked() of the rows of whole places: a key's blocks, of which it has rarely more than one, one after the other."""
+    for n in np.unique(block).tolist():
+        own = block == n
+        yield from linked(key[own], fps[own], probe[own], distance)
 
 
 def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between different fingerprints of the column fp: enough to connect all that are within the
-    distance of each other. Of a key with many fingerprints only a spanning forest is handed on."""
+    distance of each other.
+
+    A key that very many fingerprints share is dealt out: each task takes a block of the indexed ones and all the
+    probes, which go by in batches.
+    """
 
     def spread(batches):
         for batch in batches:
-            key, fp, probe = keyed(np.asarray(batch.column(0)).view(np.uint64), distance)
-            for k in range(0, len(key), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(fp[part].view(np.int64)), pa.array(probe[part])], ["key", "fp", "probe"])
+            fps = np.asarray(batch.column(0)).view(np.uint64)
+            for j in range(0, len(fps), 1 << 14):
+                key, fp, probe = keyed(fps[j : j + (1 << 14)], distance)
+                for k in range(0, len(key), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(fp[part].view(np.int64)), pa.array(probe[part])], ["key", "fp", "probe"])
 
     def meet(batches):
-        columns = list(zip(*[(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)) for b in batches], strict=True))
-        if columns:
-            for x, y in linked(*map(np.concatenate, columns), distance):
+        def rows():
+            for b in batches:
+                yield np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)), np.asarray(b.column(2)).view(np.uint64), b.column(3).to_numpy(zero_copy_only=False)
+
+        for x, y in met(rows(), distance):
+            if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
     keys = fps.select("fp").distinct().mapInArrow(spread, "key long, fp long, probe boolean")
-    return keys.repartition("key").mapInArrow(meet, "a long, b long")
+    crowds = cut(keys.where("NOT probe").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "crowds")
+    if crowds.isEmpty():
+        placed = keys.withColumn("block", F.lit(0))
+    else:
+        own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int")
+        blocks = F.when(F.col("probe"), F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array(own))
+        placed = keys.join(crowds, "key", "left").withColumn("block", F.explode(blocks))
+    placed = placed.select("key", "block", "fp", "probe").repartition("key", "block").sortWithinPartitions("key", "block", "probe")
+    return placed.mapInArrow(meet, "a long, b long")
 
 
 def rooted_fingerprints(documents: DataFrame, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
