@@ -22,7 +22,7 @@ def op3_simhash_near_dedup(spark, sf_dir):
 
 
 def op4_fuzzy_license_scan(spark, sf_dir):
-    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def op5_pitman_yor_scores(spark, sf_dir):
