@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD
+from .shared import SPACE, WORD, cut
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, EPOCHS, SEED = 1.5, 2.0, "mix-1"
-#: Parts of each source that are put in order by themselves.
-BUCKETS = 1024
+#: Bits of the 60-bit place by which a source is dealt out; each part is added up by itself.
+BITS = 12
 
 
 def words(text: Column) -> Column:
@@ -42,70 +42,77 @@ def water_fill(sources: DataFrame, share: float = SHARE, epochs: float = EPOCHS)
     return ranked.withColumn("target", F.least("_cap", F.col("_water") * F.col("weight"))).drop("_cap", "_before", "_weights", "_level", "_at", "_water")
 
 
-def chance(key: Column, seed: str) -> Column:
-    """A number in [0, 1) that follows from the key and the seed alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(2.0**48)
+def place(key: Column, seed: str) -> Column:
+    """A whole number below 2^60 that follows from the key and the seed alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(documents: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """The documents' columns plus `_size`, `_source_size`, `_target` and `_taken`.
+def shares(sized: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """A row for each source of rows (source, _place, _size): _source, _source_size, _target, _whole, _edge, _left, _words.
 
-    A document of a source that repeats r = target / source_size times gives floor(r) whole repetitions and a
-    fractional one: in all floor(r x size + u) words, u seeded by its id. So a source's words come within the
-    square root of its document count of the target, and no document gives more than epochs x its size. A null
-    source is a source of its own, last in order. A null or empty text has size 0 and is never taken; a source
-    without words has target 0. Repeated rows have the same u. The sources' table is joined as Spark sees fit:
-    broadcast if it is small, else sorted with skewed parts split.
+    A source repeats every document _whole times, and those with a place before _edge once more; documents at
+    _edge share _left of their _words words. _whole and the extra words add up to the target.
+    Sums of parts by place, at most 2^BITS a source, go through windows; of the documents only those of the one
+    part in which a source's edge lies.
     """
-    sized = documents.withColumn("_size", words(F.col("text")))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    number = (F.row_number().over(order) - 1) % len(weights)
-    sources = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    part = F.shiftright("_place", 60 - BITS)
+    parts = cut(sized.groupBy("source", part.alias("_part")).agg(F.sum("_size").alias("_words")), "parts")
+    sources = parts.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    number = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number + 1).cast("int")))
-    targets = water_fill(sources, share, epochs).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .withColumn("_taken", F.floor(rate * F.col("_size") + chance(F.col("doc_id"), seed)).cast("long"))
-        .withColumn("_taken", F.least(F.when(F.col("_size") > 0, F.col("_taken")).otherwise(0), F.floor(F.col("_size") * F.lit(float(epochs)))).cast("long"))
-        .drop("_source")
-    )
-
-
-def mix_documents(documents: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document; see mix()."""
-    return mix(documents.select("doc_id", "source", "text"), **options).select(
-        "doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
-    )
+    filled = water_fill(sources, share, epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    filled = filled.withColumn("_whole", whole).withColumn("_room", (F.floor("target") - F.col("_whole") * F.col("source_size")).cast("long"))
+    filled = cut(filled.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_room"), "targets")
+    of_source = F.col("source").eqNullSafe(F.col("_source"))
+    before = lambda over, *order: F.coalesce(F.sum("_words").over(over.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on_edge = (F.col("_before") <= F.col("_room")) & (F.col("_room") < F.col("_before") + F.col("_words"))
+    edges = parts.withColumn("_before", before(Window.partitionBy("source"), "_part")).join(filled, of_source).where(on_edge)
+    edges = edges.select("_source", F.col("_part").alias("_edge_part"), (F.col("_room") - F.col("_before")).alias("_room"))
+    here = sized.join(edges, of_source & (part == F.col("_edge_part"))).groupBy("_source", "_place").agg(F.sum("_size").alias("_words"), F.first("_room").alias("_room"))
+    at = here.withColumn("_before", before(Window.partitionBy("_source"), "_place")).where(on_edge)
+    at = at.select(F.col("_source").alias("_edge_source"), F.col("_place").alias("_edge"), (F.col("_room") - F.col("_before")).alias("_left"), "_words")
+    return filled.drop("_room").join(at, F.col("_source").eqNullSafe(F.col("_edge_source")), "left").drop("_edge_source")
+
+
+def _taken(size: Column) -> Column:
+    """The words that a document gives: of a source without an edge nothing beyond the whole repetitions."""
+    at_edge = F.floor(F.col("_left") * size / F.col("_words"))
+    return (F.col("_whole") * size + F.when(F.col("_place") < F.col("_edge"), size).when(F.col("_place") == F.col("_edge"), at_edge).otherwise(0)).cast("long")
+
+
+def mix_documents(documents: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document.
+
+    A source that repeats r = target / source_size times gives all its documents floor(r) times, and once more
+    those that come first in a seeded order of ids, up to the words of the target; only the documents at that edge,
+    in general one, give a part. So a source's words are less than one document group's rounding below its target,
+    and no document gives more than epochs x its size. A null source is a source of its own, last in order. A
+    null or empty text has size 0 and is never taken; a source without words has target 0. Repeated rows have the
+    same place and share alike. The sources' table is joined as Spark sees fit: broadcast if it is small, else
+    sorted with skewed parts split. Texts are read once.
+    """
+    sized = cut(documents.select("doc_id", "source", place(F.col("doc_id"), seed).alias("_place"), words(F.col("text")).alias("_size")), "sizes")
+    both = sized.join(shares(sized, share, epochs, weights), F.col("source").eqNullSafe(F.col("_source")), "left")
+    return both.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), _taken(F.col("_size")).alias("taken"))
 
 
-def take(documents: DataFrame, **options) -> DataFrame:
+def take(documents: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of the input: each repetition of a document is a row with its whole text.
 
-    A source at rate r gives all its documents floor(r) times, and once more those that come first in a seeded
-    order, up to the words that mix() takes from the source. Only the document at that boundary is cut: its
-    beginning fills up the words, with the white space of its text, and n_chars, if the column is there, is set to
-    its length. The order is dealt out in BUCKETS of each source; only their sums go through a window of the source.
+    It takes the words that mix_documents() tells. Only a document at the edge of its source is cut: the part is
+    its beginning, with the white space of its text, and n_chars, if the column is there, is set to its length. Whole
+    texts are not shuffled: a row for each source decides.
     """
-    seed = options.get("seed", SEED)
-    order = F.xxhash64(F.lit(seed), "doc_id", "text")
-    keys = {"_order": order, "_name": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_bucket": F.pmod(order, F.lit(BUCKETS))}
-    place = ["_name", "_none", "_bucket"]
-    rate = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0).cast("long")
-    mixed = mix(documents.select("doc_id", "source", "text").withColumns(keys), **options).withColumn("_whole", rate)
-    sums = mixed.groupBy(*place).agg(F.max("_whole").alias("_whole"), F.sum("_size").alias("_words"), F.sum(F.col("_taken") - F.col("_whole") * F.col("_size")).alias("_extra"))
-    source = Window.partitionBy("_name", "_none")
-    before = F.coalesce(F.sum("_words").over(source.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = sums.select(*place, "_whole", before.alias("_before"), F.sum("_extra").over(source).alias("_room"))
-    within = Window.partitionBy(*place).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    whole_rows = documents.select(F.struct(*documents.columns).alias("_row"), words(F.col("text")).alias("_size"), *[c.alias(n) for n, c in keys.items()])
-    dealt = whole_rows.withColumn("_running", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(ahead, place)
-    left = F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.col("_before") - F.col("_running")))
-    dealt = dealt.withColumn("_left", left)
-    whole = F.when(F.col("_size") > 0, F.col("_whole") + (F.col("_left") == F.col("_size")).cast("long")).otherwise(0).cast("int")
-    part = F.when((F.col("_left") > 0) & (F.col("_left") < F.col("_size")), F.array("_left")).otherwise(F.array().cast("array<bigint>"))
-    rows = dealt.withColumn("_rep", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), part)))
+    sized = cut(documents.select("source", place(F.col("doc_id"), seed).alias("_place"), words(F.col("text")).alias("_size")), "sizes")
+    told = documents.select(F.struct(*documents.columns).alias("_row"), "source", place(F.col("doc_id"), seed).alias("_place"), F.col("text").rlike(WORD).alias("_some"))
+    dealt = told.join(shares(sized, share, epochs, weights), F.col("source").eqNullSafe(F.col("_source")), "left")
     text = F.col("_row")["text"]
+    size = F.when(F.col("_place") == F.col("_edge"), words(text))
+    part = F.floor(F.col("_left") * size / F.col("_words"))
+    full = F.col("_whole") + F.when(F.col("_place") < F.col("_edge"), 1).otherwise(0)
+    copies = F.array_repeat(F.lit(0).cast("long"), F.when(F.col("_some"), full).otherwise(0).cast("int"))
+    rows = dealt.withColumn("_rep", F.explode(F.concat(copies, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))
     piece = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"((?:{SPACE})?{WORD})"), F.lit(1)), F.lit(1), F.col("_rep").cast("int")), "")
     changed = {"text": F.when(F.col("_rep") > 0, piece).otherwise(text)}
     if "n_chars" in documents.columns:
@@ -114,7 +121,9 @@ def take(documents: DataFrame, **options) -> DataFrame:
 
 
 ORACLE = f"""
-WITH sized AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('{SEED}:' || COALESCE(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place FROM documents),
 sources AS (SELECT source, SUM(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT source, source_size, [3.0, 1.0, 2.0][((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)]::DOUBLE AS weight FROM sources),
 ranked AS (
@@ -125,12 +134,12 @@ ranked AS (
 levels AS (SELECT *, ROW_NUMBER() OVER (ORDER BY cap / weight, source NULLS LAST) AS k, ((SELECT SUM(source_size) FROM sources)::DOUBLE * 1.5::DOUBLE - before) / weights AS level FROM ranked),
 water AS (SELECT ARG_MIN(level, k) AS w FROM levels WHERE cap > level * weight),
 targets AS (SELECT source, source_size, LEAST(cap, (SELECT w FROM water) * weight) AS target FROM levels),
-dealt AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('{SEED}:' || COALESCE(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target,
-  CASE WHEN size > 0 THEN LEAST(FLOOR(rate * size + u)::BIGINT, size * 2) ELSE 0 END::BIGINT AS taken
-FROM dealt
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN FLOOR(target / source_size) ELSE 0 END::BIGINT AS whole FROM targets),
+rooms AS (SELECT *, FLOOR(target)::BIGINT - whole * source_size AS room FROM rates),
+places AS (SELECT source, place, SUM(size)::BIGINT AS words FROM sized GROUP BY source, place),
+running AS (SELECT *, COALESCE(SUM(words) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM places)
+SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+  (t.whole * d.size + CASE WHEN r.before + r.words <= t.room THEN d.size WHEN r.before <= t.room AND r.words > 0 THEN FLOOR((t.room - r.before) * d.size::DOUBLE / r.words) ELSE 0 END)::BIGINT AS taken
+FROM sized d JOIN rooms t ON d.source IS NOT DISTINCT FROM t.source
+JOIN running r ON d.source IS NOT DISTINCT FROM r.source AND d.place = r.place
 """
