@@ -24,10 +24,18 @@ WORDS = ("idiot", "idiots", "moron", "morons", "scum", "stupid", "loser", "loser
 WEIGHT = 5.0
 #: Fixed phrases in which those words are harmless.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "class clown", "clown fish", "pond scum")
-#: Fixed lookalikes of Latin letters: Cyrillic, then Greek.
-LOOKALIKES = dict(zip("авеёкмнорстухѕіїјһԁԛԝ" + "αβεικνορτυχ", "abeekmhopctyxsiijhdqw" + "abeikvoptux", strict=True))
-#: Fixed substitutions inside words that have letters.
-DIGITS = str.maketrans("013457@$", "oieastas")
+#: Fixed lookalikes of Latin letters, by script: Cyrillic, Greek, Armenian, Cherokee, small capitals, letters with strokes.
+LOOKALIKES = dict(
+    zip(
+        "авеёкмнорстухѕіїјһԁԛԝ" + "αβεικνορτυχ" + "օոսհցզ" + "ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ" + "ᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ" + "ıłøđħŧƒɡɑ",
+        "abeekmhopctyxsiijhdqw" + "abeikvoptux" + "onuhgq" + "abcdeghijklmprstvwz" + "abcdeghijklmnoprstuvwyz" + "ilodhtfga",
+        strict=True,
+    )
+)
+#: Fixed substitutions of letters inside words. Letters that the same sign can stand for are one letter when folded: l is i.
+SIGNS = str.maketrans("013456789@$", "oieasgtbgas")
+BARS = str.maketrans("!|", "ii")
+SAME = {"l": "i"}
 #: Prefixes of words that may become terms, and how often a term must stand in toxic training texts.
 PREFIXES, LEAST, RATIO = range(4, 9), 5, 8.0
 #: Rounds of learning, and the least share of a round's most frequent term.
@@ -35,24 +43,37 @@ ROUNDS, SHARE = 4, 0.2
 
 
 def _folds() -> dict[int, str | None]:
-    table: dict[int, str | None] = {c: " " for c in range(0x80) if not chr(c).isalnum() and chr(c) not in "@$"}
-    for c in (*range(0x80, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0xFF00, 0xFF60)):
+    """What each code point becomes: a letter that it looks like or is made of, a space, or nothing."""
+    table: dict[int, str | None] = {c: " " for c in range(0x80) if not chr(c).isalnum() and chr(c) not in "@$!|"}
+    near = [*range(0x80, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0xFF00, 0xFF60)]
+    for c in near:
         base = unicodedata.normalize("NFKD", chr(c))[0].lower()
         base = LOOKALIKES.get(base, base)
-        table[c] = None if c == 0xAD or unicodedata.category(chr(c)) == "Cf" else base if base.isalnum() else " "
-    table |= {c: chr(c + 32) for c in range(65, 91)} | {c: None for c in range(0x300, 0x370)} | {0xFEFF: None}
+        table[c] = None if c == 0xAD or unicodedata.category(chr(c)) == "Cf" else SAME.get(base, base) if base.isalnum() else " "
+    for c in (*range(0x250, 0x370), *range(0x530, 0x1E00), *range(0x2070, 0x3400), *range(0xA640, 0xAC00), *range(0xF900, 0xFF00), *range(0x10000, 0x20000)):
+        own = LOOKALIKES.get(chr(c)) or LOOKALIKES.get(chr(c).lower()) or unicodedata.normalize("NFKD", chr(c)).strip("()")[:1].lower()
+        own = LOOKALIKES.get(own, own)
+        if "a" <= own <= "z" or "0" <= own <= "9":
+            table[c] = SAME.get(own, own)
+    table |= {ord(x): SAME.get(y, y) for x, y in LOOKALIKES.items()}
+    table |= {c: SAME.get(chr(c + 32), chr(c + 32)) for c in range(65, 91)} | {ord("l"): "i"} | {c: None for c in range(0x300, 0x370)} | {0xFEFF: None}
     return table
 
 
 FOLDS_TABLE = str.maketrans(_folds())
-MIXED = re.compile(r"(?<=[a-z])[013457@$]+|[013457@$]+(?=[a-z])")
+MIXED = re.compile(r"(?<=[a-z])[0-9@$]+|[0-9@$]+(?=[a-z])")
+#: A bar or an exclamation mark is a letter where a word goes on after it, never at a word's end.
+BARRED = re.compile(r"[!|]+(?=[a-z0-9@$])")
+LONE = str.maketrans("!|", "  ")
 
 
 def folded(text: str | None) -> str:
-    """Lower-case words between single spaces, with lookalikes, accents and, beside letters, digits made letters."""
+    """Lower-case words between single spaces, in which lookalikes, accents and, inside of words, digits and signs have
+    become letters, and letters that one sign can stand for are one."""
     line = (text or "").translate(FOLDS_TABLE)
-    if "@" in line or "$" in line or any(d in line for d in "013457"):
-        line = MIXED.sub(lambda m: m[0].translate(DIGITS), line)
+    if "!" in line or "|" in line:
+        line = BARRED.sub(lambda m: m[0].translate(BARS), line).translate(LONE)
+    line = MIXED.sub(lambda m: m[0].translate(SIGNS), line)
     return " ".join(line.split())
 
 
@@ -63,7 +84,7 @@ class Lexicon:
     """
 
     def __init__(self, terms: dict[str, float] | None = None, exceptions=EXCEPTIONS) -> None:
-        self.terms = {f" {w} ": WEIGHT for w in WORDS} if terms is None else terms
+        self.terms = {f" {folded(w)} ": WEIGHT for w in WORDS} if terms is None else terms
         self.exceptions = exceptions
         self.scale = np.array([-4.0, 3.0])
         self.automaton = ahocorasick.Automaton()
