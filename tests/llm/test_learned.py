@@ -53,13 +53,45 @@ def test_prior_and_risk():
 
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon()
-    for text in ("IDIOT!", "1d10t", "іdiot", "stüpid", "s­cum", "m0r0n"):
+    for text in ("IDIOT!", "1d10t", "іdiot", "stüpid", "s­cum", "m0r0n", "c1own", "1oser", "worth1ess", "1d!ot", "|oser", "𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "𝚜𝚌𝚞𝚖", "ѕсυм", "ꜱᴄᴜᴍ", "ᎥᎠᎥoᎢ", "di5gu5ting", "di5gu5tin9"):
         assert lexicon.matched(text)[0] > 0, text
-    for text in ("a trash can", "scumble idiotic", "100 453", "", None):
+    for text in ("a trash can", "scumble idiotic", "100 453", "Hello! World | more", "", None, "漢字 한글"):
         assert lexicon.matched(text)[0] == 0, text
     assert lexicon.matched("trash can trash")[0] == toxicity.WEIGHT
 
 
+def test_every_sign_folds_in_every_fixed_word():
+    lexicon = toxicity.Lexicon()
+    signs = {"o": "0оο𝒐", "i": "1!|іί𝕚", "e": "3еε", "a": "4@а", "s": "5$ѕ", "t": "7т", "l": "1|!ʟ", "b": "8в", "g": "96ɡ", "c": "сᴄ", "u": "սυ"}
+    for word in toxicity.WORDS:
+        for at, letter in enumerate(word):
+            for sign in signs.get(letter, ""):
+                if sign in "!|" and at == len(word) - 1:
+                    continue
+                own = word[:at] + sign + word[at + 1 :]
+                assert lexicon.matched(f"so {own.upper() if sign.isalpha() else own}, yes")[0] == toxicity.WEIGHT, own
+
+
+def test_matches_are_those_of_a_plain_scan():
+    rng = np.random.default_rng(2)
+    terms = {" ab ": 1.0, " a": 0.5, " abc": 2.0, " ca b ": 3.0, " bb": 1.5}
+    lexicon = toxicity.Lexicon(terms, ("ab c", "bb a"))
+    for _ in range(400):
+        line = " ".join("".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(rng.integers(0, 8)))
+        own, hits = f" {line} ", {}
+        for term, weight in terms.items():
+            for at in range(len(own)):
+                if own.startswith(term, at):
+                    hits[at] = max(hits.get(at, 0), weight)
+        for phrase in ("ab c", "bb a"):
+            for at in range(len(own)):
+                if own.startswith(f" {phrase} ", at):
+                    hits = {k: v for k, v in hits.items() if not at <= k < at + len(phrase) + 1}
+        total, words = lexicon.matched(line)
+        assert words == len(line.split()) and total == pytest.approx(sum(hits.values()) if line else 0), line
+
+
 def test_learned_terms():
+    # terms stand as they are folded
     bad, good = {" vequ": 200, " vequar ": 60, " vequas ": 70, " the ": 300, " lonely ": 200, " lone": 200}, {" the ": 900}
     assert set(toxicity.choose(bad, good, 300, 1000)) == {" vequ", " lonely "}
