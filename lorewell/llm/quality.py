@@ -6,14 +6,17 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, small_batches
+from .shared import cut, drop_table, fold, small_batches
 
-#: Most rows of either kind, positive and unlabelled, that the model is fitted to.
+#: Most trusted positives, which are labelled rows, that the model is fitted to; unlabelled rows all count.
 SAMPLE = 20_000
 THRESHOLD, FOLDS, HELD_OUT, RIDGE = 0.7, 4, 2, 3e-3
+#: Newton steps of a fit.
+STEPS = 12
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#$%&*+<=>@[\\]^_`{|}~!")] = True
 DIGITS = np.zeros(256, bool)
@@ -22,7 +25,8 @@ NAMES = ("upper", "symbols", "symbol_ends", "bars", "stutter", "digits", "repeat
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of shapes in a whole text, none of its length or language; the constants added to counts keep a few words from weighing like many."""
+    """Shares of shapes in a whole text, none of its length or language; the constants added to counts keep a few words from
+    weighing like many."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     n = len(words)
@@ -66,51 +70,115 @@ class Model:
         return sigmoid(self.margin(x))
 
 
-def _descend(model: Model, gradient, steps: int = 600, rate: float = 0.05) -> None:
-    """Adam on weights and bias."""
+class Rows:
+    """A table of packed feature rows, which stays with Spark: sums over all of them are what the driver gets."""
+
+    def __init__(self, packed: DataFrame, width: int) -> None:
+        self.packed, self.width = packed, width
+        count, *sums = self.sums(lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * width)
+        self.n = int(count)
+        self.first, self.second = np.array(sums[:width]), np.array(sums[width:])
+
+    def sums(self, of, size: int) -> np.ndarray:
+        """The sum of of(rows), an array of `size` numbers, over all rows: added up in each task first."""
+        width = self.width
+
+        def add(batches):
+            total = np.zeros(size)
+            for batch in batches:
+                total += of(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, width).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(total)], ["x"])
+
+        rows = self.packed.mapInArrow(add, "x double").withColumn("at", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)))
+        total = np.zeros(size)
+        for r in rows.groupBy("at").agg(F.sum("x").alias("x")).collect():
+            total[r["at"]] = r["x"]
+        return total
+
+
+class Array:
+    """The same sums over rows that are at hand."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.rows, self.n = rows, len(rows)
+        self.first, self.second = rows.sum(0), (rows * rows).sum(0)
+
+    def sums(self, of, size: int) -> np.ndarray:
+        return of(self.rows)
+
+
+def _moments(model: Model, at: np.ndarray):
+    """A function of rows that gives the summed logistic loss as negatives, its gradient and its second derivatives."""
+    mean, scale = model.mean, model.scale
+
+    def of(x: np.ndarray) -> np.ndarray:
+        z = np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))])
+        m = z @ at
+        p = sigmoid(m)
+        return np.concatenate([[np.logaddexp(0, m).sum()], z.T @ p, (z.T @ (z * (p * (1 - p))[:, None])).ravel()])
+
+    return of
+
+
+def _minimise(model: Model, positive: np.ndarray, unlabelled, prior: float | None) -> None:
+    """Damped Newton steps on weights and bias, of the balanced logistic loss (no prior) or of the non-negative risk.
+
+    The risk as it stands is convex: with the logistic loss the positives' part is linear. Where what is left of
+    the unlabelled rows' loss falls below zero, a step leads it up again.
+    """
+    p, k = np.hstack([model.standard(positive), np.ones((len(positive), 1))]), positive.shape[1] + 1
     at = np.append(model.weights, model.bias)
-    first, second = np.zeros_like(at), np.zeros_like(at)
-    for t in range(1, steps + 1):
-        g = gradient(at) + RIDGE * np.append(at[:-1], 0)
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        at = at - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    ridge = RIDGE * np.append(np.ones(k - 1), 1e-6)
+    for _ in range(STEPS):
+        total = unlabelled.sums(_moments(model, at), 1 + k + k * k) / unlabelled.n
+        loss, gradient, bend = total[0], total[1 : 1 + k], total[1 + k :].reshape(k, k)
+        m = p @ at
+        q = sigmoid(m)
+        if prior is None:
+            gradient, bend = gradient / 2 - (p * (1 - q)[:, None]).mean(0) / 2, bend / 2 + p.T @ (p * (q * (1 - q))[:, None]) / len(p) / 2
+        elif loss - prior * np.logaddexp(0, m).mean() < 0:
+            gradient, bend = -(gradient - prior * (p * q[:, None]).mean(0)), bend + np.eye(k)
+        else:
+            gradient = gradient - prior * p.mean(0)
+        step = np.linalg.solve(bend + np.diag(ridge + 1e-6), gradient + ridge * at)
+        at = at - step * min(1.0, 3 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-5:
+            break
     model.weights, model.bias = at[:-1], float(at[-1])
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def class_prior(positive: np.ndarray, shares) -> float:
     """The share of positives among the unlabelled, from scores that tell the two samples apart.
 
     Positives are the same share of any region in both samples, so the ratio of the regions' shares bounds the
     prior from above; the estimate is the smallest ratio over upper sets that hold at least half of the positives.
+    shares(cuts): the unlabelled rows' shares at each cut and above.
     """
     cuts = np.quantile(positive, np.linspace(0.0, 0.5, 51))
     have = np.array([(positive >= c).mean() for c in cuts])
-    want = np.array([(unlabelled >= c).mean() for c in cuts])
-    return float(np.clip((want / have).min(), 0.01, 0.99))
+    return float(np.clip((shares(cuts) / have).min(), 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+def fit(positive: np.ndarray, unlabelled, prior: float | None = None) -> Model:
     """Minimises the non-negative risk: prior x loss of the positives, plus what is left of the unlabelled text's
     loss as negatives after the positives' share is taken off, which counts as zero when it falls below that.
-    Without rows of either kind every score is 0.5.
+    unlabelled: Rows, all of which count, or an array. Without rows of either kind every score is 0.5.
     """
+    unlabelled = Array(unlabelled) if isinstance(unlabelled, np.ndarray) else unlabelled
     model = Model(positive.shape[1])
-    if not len(positive) or not len(unlabelled):
+    if not len(positive) or not unlabelled.n:
         return model
-    both = np.concatenate([positive, unlabelled])
-    model.mean, model.scale = both.mean(0), np.where(both.std(0) > 1e-9, both.std(0), 1)
-    p, u = (np.hstack([model.standard(x), np.ones((len(x), 1))]) for x in (positive, unlabelled))
+    n = len(positive) + unlabelled.n
+    model.mean = (positive.sum(0) + unlabelled.first) / n
+    spread = np.sqrt(np.maximum((positive**2).sum(0) + unlabelled.second - n * model.mean**2, 0) / n)
+    model.scale = np.where(spread > 1e-9, spread, 1)
     if prior is None:
-        _descend(model, lambda w: -(p * sigmoid(-p @ w)[:, None]).mean(0) / 2 + (u * sigmoid(u @ w)[:, None]).mean(0) / 2, 300)
-        prior = class_prior(model.margin(positive), model.margin(unlabelled))
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        a, b = p @ w, u @ w
-        left = np.logaddexp(0, b).mean() - prior * np.logaddexp(0, a).mean()
-        negative = (u * sigmoid(b)[:, None]).mean(0) - prior * (p * sigmoid(a)[:, None]).mean(0)
-        return -negative if left < 0 else -prior * (p * sigmoid(-a)[:, None]).mean(0) + negative
-
-    _descend(model, gradient)
+        _minimise(model, positive, unlabelled, None)
+        mean, scale, weights, bias = model.mean, model.scale, model.weights, model.bias
+        score = lambda x: np.clip((x - mean) / scale, -6, 6) @ weights + bias
+        shares = lambda cuts: unlabelled.sums(lambda x: (score(x)[:, None] >= cuts[None, :]).sum(0), len(cuts)) / unlabelled.n
+        prior = class_prior(score(positive), shares)
+    _minimise(model, positive, unlabelled, prior)
     model.fitted = True
     return model
 
@@ -118,27 +186,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     """The model of the rows whose fold is not held out.
 
-    Positives: documents that all their labels call 1. Unlabelled: documents without a label; if every document
-    has one, all of these rows, whatever their labels, stand for the unlabelled. Of either kind the `sample` rows
-    with the smallest hash of the doc_id are used; their ids alone are broadcast.
+    Positives: documents that all their labels call 1; of these the `sample` with the smallest hash of the doc_id.
+    Unlabelled: all documents without a label; if every document has one, all of these rows, whatever their labels,
+    stand for the unlabelled, and the labels of negatives are not used. Features are written once; each step of the fit sums
+    over them where they are.
     """
-    learn = documents.select("doc_id").where(fold(F.col("doc_id"), folds) != held_out)
+    learn = small_batches(documents).select("doc_id", "text").where(fold(F.col("doc_id"), folds) != held_out)
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    kinds = learn.join(marked, "doc_id", "left").select("doc_id", F.when(F.col("_quality") == 1, 1).when(F.col("_quality").isNull(), 0).alias("_kind")).where("doc_id IS NOT NULL")
-    known = kinds.where("_kind IS NOT NULL")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    unlabelled = known.where("_kind = 0")
-    if unlabelled.isEmpty():
-        unlabelled = kinds.select("doc_id", F.lit(0).alias("_kind"))
-    picked = known.where("_kind = 1").orderBy(*order).limit(sample).unionByName(unlabelled.orderBy(*order).limit(sample)).distinct()
-
-    @F.pandas_udf("array<double>")
-    def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(matrix(texts)))
+    width = len(NAMES)
 
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("_kind", measure("text").alias("x")).toPandas()
-    stack = lambda kind: np.array(rows.loc[rows["_kind"] == kind, "x"].tolist()).reshape(-1, len(NAMES))
-    return fit(stack(1), stack(0))
+    @F.pandas_udf("binary")
+    def measure(texts: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in matrix(texts).astype(np.float32)], dtype=object)
+
+    kind = F.when(F.col("_quality") == 1, 1).when(F.col("_quality").isNull(), 0).otherwise(2).alias("kind")
+    measured = learn.select("doc_id", measure("text").alias("data"))
+    table = cut(measured.join(marked, "doc_id", "left").select(kind, F.col("doc_id").cast("string").alias("id"), "data"), "features")
+    good = table.where("kind = 1").orderBy(F.xxhash64("id"), "id", "data").limit(sample).select("data").toPandas()["data"]
+    positive = np.array([np.frombuffer(x, np.float32) for x in good], np.float64).reshape(-1, width)
+    unlabelled = Rows(table.where("kind = 0").select("data"), width)
+    if not unlabelled.n:
+        unlabelled = Rows(table.select("data"), width)
+    model = fit(positive, unlabelled)
+    drop_table(table)
+    return model
 
 
 def scorer(model: Model):
