@@ -15,10 +15,10 @@ from .shared import cut
 from .vectors import finite, nonzero
 
 COSINE, RECALL = 0.98, 0.9999
-#: The codebooks are learned from at most so many different vectors; every vector is indexed.
-SAMPLE = 16_384
-#: Vectors aimed at for a cell, and the most centroids of a half.
-CELL, CODES = 640, 1024
+#: The codebooks are learned from at most so many different vectors, 16 for each centroid; every vector is indexed.
+SAMPLE = 1 << 17
+#: Vectors aimed at for a cell, and the most centroids of a half, so that cells keep that size up to 4e10 vectors.
+CELL, CODES = 640, 1 << 13
 #: Rows of a side that meet in one task at a time.
 BLOCK = 256
 
@@ -65,6 +65,11 @@ def units(vectors) -> np.ndarray:
     return rows / np.sqrt((rows**2).sum(1, keepdims=True))
 
 
+def codes(rows: int) -> int:
+    """Centroids of a half for so many vectors."""
+    return int(np.clip(round((rows / CELL) ** 0.5), 1, CODES))
+
+
 class MultiIndex:
     """Codebooks for both halves of unit vectors and the reach that finds links with the target recall.
 
@@ -75,7 +80,7 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int = 5) -> None:
         self.half = sample.shape[1] // 2
-        k = int(np.clip(round((rows / CELL) ** 0.5), 1, min(CODES, len(sample))))
+        k = min(codes(rows), len(sample))
         self.books = [codebook(part, k, seed + i) for i, part in enumerate(self.halves(sample))]
         noise = np.random.default_rng(seed).standard_normal(sample.shape)
         noise -= (noise * sample).sum(1, keepdims=True) * sample
@@ -92,27 +97,27 @@ class MultiIndex:
         return [distances(part, book) for part, book in zip(self.halves(rows), self.books, strict=True)]
 
     def cells(self, rows: np.ndarray) -> list[list[int]]:
-        """The cells each row visits; the first is its own."""
+        """The cells each row visits; the first is its own. Of two linked rows the one with the smaller cell finds the other,
+        so those before its own are left out: the reach holds the recall for either side alone."""
         first, second = self.gaps(rows)
-        return [list(traverse(a, b, self.reach)) for a, b in zip(first, second, strict=True)]
+        found = [list(traverse(a, b, self.reach)) for a, b in zip(first, second, strict=True)]
+        return [[own, *(c for c in rest if c > own)] for own, *rest in found]
 
 
 def _meet(cosine: float):
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        """node, root, found: links between this block's probes and its indexed vectors."""
+        """node, root, found: links between this block's probes and its indexed vectors, each pair once."""
         probes, indexed = group[group["probing"]], group[~group["probing"]]
         none = pd.DataFrame({"node": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64"), "found": pd.Series(dtype="int64")})
         if not len(probes) or not len(indexed):
             return none
         near = units(probes["embedding"].tolist()) @ units(indexed["embedding"].tolist()).T >= cosine
         p, q = probes["rep"].to_numpy(), indexed["rep"].to_numpy()
-        near &= p[:, None] != q[None, :]
+        # of two in the same cell the one with the smaller rep is the probe
+        near &= ~probes["home"].to_numpy()[:, None] | (p[:, None] < q[None, :])
         if not near.any():
             return none
-        # an indexed vector that doesn't visit the probe's cell in turn gets the link from here
-        visits = [set(cells.tolist()) for cells in indexed["cells"]]
-        turn = np.array([[cells[0] in seen for seen in visits] for cells in probes["cells"]])
-        found = np.concatenate([near @ indexed["copies"].to_numpy(), (near & ~turn).T @ probes["copies"].to_numpy()])
+        found = np.concatenate([near @ indexed["copies"].to_numpy(), near.T @ probes["copies"].to_numpy()])
         roots_p, roots_q, top = p.copy(), q.copy(), np.iinfo(np.int64).max
         while True:
             to_p = np.minimum(roots_p, np.where(near, roots_q[None, :], top).min(1))
@@ -139,7 +144,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float =
     vectors is many tasks. A block hands on, for each vector, how many links it found and one link towards its
     block's components, not the pairs.
     """
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = embeddings.select("vec_id", "label", "embedding")
     good = F.col("label").isNotNull() & finite(F.col("embedding")) & nonzero(F.col("embedding"))
     rows = rows.withColumn("usable", F.coalesce(good, F.lit(False)))
     different = cut(rows.where("usable").groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep")), "vectors")
@@ -162,7 +167,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float =
 
 def _blocks(vectors: DataFrame, n: int, cosine: float, recall: float) -> DataFrame:
     """Links of vectors of one length, block by block."""
-    sample = vectors.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
+    most = min(SAMPLE, max(1 << 14, 16 * codes(n)))
+    sample = vectors.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(most).toPandas()
     index = MultiIndex(units(sample["embedding"].tolist()), n, cosine, recall)
 
     @F.pandas_udf("array<int>")
@@ -171,8 +177,8 @@ def _blocks(vectors: DataFrame, n: int, cosine: float, recall: float) -> DataFra
 
     seen = cut(vectors.select("label", "rep", "copies", "embedding", visit("embedding").alias("cells")), "cells")
     where = ["label", "cell"]
-    homes = seen.select("label", F.col("cells")[0].alias("cell"), "rep", "copies", "embedding", "cells")
-    visits = seen.select("label", F.explode("cells").alias("cell"), "rep", "copies", "embedding", "cells")
+    homes = seen.select("label", F.col("cells")[0].alias("cell"), "rep", "copies", "embedding", F.lit(True).alias("home"))
+    visits = seen.select("label", F.posexplode("cells").alias("place", "cell"), "rep", "copies", "embedding").withColumn("home", F.col("place") == 0).drop("place")
     blocks = lambda df, name: df.groupBy(where).agg(F.ceil(F.count("*") / BLOCK).alias(name))
     grid = cut(blocks(homes, "homes").join(blocks(visits, "visits"), where), "grid")
     spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
@@ -180,7 +186,7 @@ def _blocks(vectors: DataFrame, n: int, cosine: float, recall: float) -> DataFra
         df.join(grid, where)
         .withColumn(own + "_at", (spread % F.col(own)).cast("int"))
         .withColumn(other + "_at", F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int"))))
-        .select("label", "cell", "homes_at", "visits_at", "rep", "copies", "embedding", "cells", F.lit(probing).alias("probing"))
+        .select("label", "cell", "homes_at", "visits_at", "rep", "copies", "embedding", "home", F.lit(probing).alias("probing"))
     )
     both = placed(homes, "homes", "visits", False).unionByName(placed(visits, "visits", "homes", True))
     return both.groupBy("label", "cell", "homes_at", "visits_at").applyInPandas(_meet(cosine), "node long, root long, found long")
