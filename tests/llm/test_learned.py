@@ -48,7 +48,37 @@ def test_prior_and_risk():
     unlabelled = np.concatenate([good[:1400], bad[:600]])
     model = quality.fit(good[2000:], unlabelled)
     assert (model.score(good[1400:2000]) > 0.5).mean() > 0.97 and (model.score(bad[2000:]) < 0.5).mean() > 0.97
-    assert quality.class_prior(good[:, 0], unlabelled[:, 0]) == pytest.approx(0.7, abs=0.06)
+    assert quality.class_prior(good[:, 0], lambda cuts: (unlabelled[:, 0][:, None] >= cuts).mean(0)) == pytest.approx(0.7, abs=0.06)
+
+
+def test_fit_is_the_minimum_of_the_risk():
+    rng = np.random.default_rng(1)
+    positive, unlabelled = rng.normal(0.5, 1, (300, 4)), np.concatenate([rng.normal(0.5, 1, (200, 4)), rng.normal(-0.8, 1, (400, 4))])
+    model = quality.fit(positive, unlabelled, prior=0.4)
+
+    def risk(weights, bias):
+        a, b = model.standard(positive) @ weights + bias, model.standard(unlabelled) @ weights + bias
+        left = np.logaddexp(0, b).mean() - 0.4 * np.logaddexp(0, a).mean()
+        return 0.4 * np.logaddexp(0, -a).mean() + max(0.0, left) + quality.RIDGE / 2 * (weights**2).sum()
+
+    least = risk(model.weights, model.bias)
+    for _ in range(300):
+        step = rng.normal(0, rng.choice([1e-3, 1e-2, 0.3]), 5)
+        assert risk(model.weights + step[:4], model.bias + step[4]) >= least - 1e-7
+
+
+def test_all_unlabelled_rows_count(small, monkeypatch):
+    docs, labels = small("documents"), small("labels")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior=None: seen.append((p, u.n, u.first / u.n)) or fit(p, u, prior))
+    one = quality.train(docs, labels)
+    marked = {r.doc_id for r in labels.collect()}
+    rows = [r for r in docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held")).collect() if not r.held and r.doc_id not in marked]
+    x = quality.matrix([r.text for r in rows])
+    assert seen[0][1] == len(rows) and seen[0][2] == pytest.approx(x.mean(0), rel=1e-5, abs=1e-7)
+    plain = fit(seen[0][0], x)
+    assert one.score(x) == pytest.approx(plain.score(x), abs=1e-3)
 
 
 def test_folding_and_exceptions():
