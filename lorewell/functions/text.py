@@ -33,22 +33,24 @@ SECRETS = r"(?i)^(?:token|access_token|auth|key|api_?key|secret|password|session
 HEADER_END = r"(?m)^[ \t]*---[ \t]*$"
 
 
-def count(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+def count_up_to(text: Column, pattern: str, most: int) -> Column:
+    """The number of matches, at most `most`: the search ends there."""
+    return F.greatest(F.coalesce(F.size(F.split(text, pattern, most + 1)) - 1, F.lit(0)), F.lit(0))
 
 
 def depth_score(text: Column) -> Column:
-    """0 to 1 from seven capped signals of explanation, over the whole text."""
+    """0 to 1 from seven capped signals of explanation, over the whole text; each is looked for until its cap is reached."""
     capped = lambda most, each, n: F.least(F.lit(most), n * F.lit(each))
+    text = F.nullif(text, F.lit(""))
     tools = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TOOLS})"), F.lit(1))))
     total = (
-        capped(0.35, 0.15, count(text, CAUSAL))
-        + capped(0.20, 0.15, F.floor(count(text, "```") / 2))
+        capped(0.35, 0.15, count_up_to(text, CAUSAL, 3))
+        + capped(0.20, 0.15, F.floor(count_up_to(text, "```", 4) / 2))
         + F.when(text.rlike(QUESTIONS), 0.25).otherwise(0.0)
-        + F.least(F.lit(0.10), count(text, r"[^\s]+") / 1000.0)
-        + capped(0.08, 0.04, count(text, NUMBERS))
-        + capped(0.08, 0.04, F.greatest(tools, F.lit(0)))
-        + capped(0.08, 0.04, count(text, CONNECTIONS))
+        + F.least(F.lit(0.10), count_up_to(text, r"[^\s]+", 100) / 1000.0)
+        + capped(0.08, 0.04, count_up_to(text, NUMBERS, 2))
+        + capped(0.08, 0.04, F.greatest(F.coalesce(tools, F.lit(0)), F.lit(0)))
+        + capped(0.08, 0.04, count_up_to(text, CONNECTIONS, 2))
     )
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
 

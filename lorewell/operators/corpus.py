@@ -57,7 +57,7 @@ def duplicate_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def parents_without_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows that stand for themselves in lexical search: no active child does."""
-    return rows.join(chunks.where("status = 'active'"), rows.id == chunks.parent_id, "left_anti")
+    return rows.join(chunks.where("status = 'active'").select(F.col("parent_id").alias("_parent")), F.col("id") == F.col("_parent"), "left_anti")
 
 
 def collapse_chunks(chunks: DataFrame, parents: DataFrame) -> DataFrame:
@@ -84,19 +84,23 @@ def stream_digest(rows: DataFrame) -> DataFrame:
     return rows.select("id", "source_type", "status", F.length("content").alias("length"), F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
 
 
-def dedup_plan(rows: DataFrame, children: DataFrame) -> DataFrame:
-    """(id, survivor, pass): copies of parents first, then copies of children under the surviving parents.
+#: Fixed channels whose rows are derived from others and never merged.
+DERIVED = ("codex_task", "distilled_agent_task", "distilled_chat", "dream_cycle")
 
-    Parents are alike by source, project, status and hash of the content; the oldest stays. Children are alike by
-    surviving parent, place, status and hash.
-    """
-    by = Window.partitionBy("source_type", "project", "status", "hash")
-    parents = rows.select("id", "created_at", "source_type", "project", "status", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
-    parents = parents.select("id", F.first("id").over(by.orderBy("created_at", "id")).alias("survivor"))
-    hashed = children.select("id", "parent_id", "chunk_index", "status", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
-    rekeyed = hashed.join(parents.withColumnsRenamed({"id": "parent_id", "survivor": "_canonical"}), "parent_id", "left").withColumn("_canonical", F.coalesce("_canonical", "parent_id"))
-    own = Window.partitionBy("_canonical", "chunk_index", "status", "hash").orderBy("id")
-    pieces = rekeyed.select("id", F.first("id").over(own).alias("survivor"))
-    return parents.withColumn("pass", F.lit("parent")).unionByName(pieces.withColumn("pass", F.lit("chunk"))).where("id <> survivor")
 
+def dedup_plan(rows: DataFrame, derived: tuple[str, ...] = DERIVED) -> DataFrame:
+    """old_id, new_id, pass: captured sources that repeat an older one; those of chunks (pass 1) come before those of parents (2).
 
+    rows: (id, parent_id, type, source_type, url, project, status, record_kind, chunk_index, content, created_at). Only rows of type
+    source with an address, without a record kind and of no derived channel may merge. Rows are alike by channel, address,
+    project, type, parent, place among chunks, hash of the content and status; the oldest stays, ties to the smaller id.
+    Chunks of merged parents have the surviving one for parent, and a repeated paragraph at another place stays.
+    """
+    own = (F.col("type") == "source") & (F.coalesce("url", F.lit("")) != "") & ~F.coalesce(F.col("source_type").isin(*derived), F.lit(False)) & (F.coalesce("record_kind", F.lit("")) == "")
+    kept = rows.where(own).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256)).drop("content")
+    alike = ["source_type", "url", "project", "type", "chunk_index", "hash", "status"]
+    first = lambda *keys: F.first("id").over(Window.partitionBy(*keys).orderBy("created_at", "id"))
+    parents = kept.where("parent_id IS NULL").select("id", first(*alike).alias("new_id"))
+    pieces = kept.where("parent_id IS NOT NULL").join(parents.withColumnsRenamed({"id": "parent_id", "new_id": "_canonical"}), "parent_id", "left")
+    pieces = pieces.withColumn("_canonical", F.coalesce("_canonical", "parent_id")).select("id", first("_canonical", *alike).alias("new_id"))
+    return pieces.withColumn("pass", F.lit(1)).unionByName(parents.withColumn("pass", F.lit(2))).where("id <> new_id").withColumnRenamed("id", "old_id")

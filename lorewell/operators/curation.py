@@ -20,16 +20,21 @@ def authorised(candidates: DataFrame, rows: DataFrame, context: DataFrame) -> Da
     return out.withColumn("allowed", (F.col("cited") > 0) & (F.col("unknown") + F.col("inactive") + F.col("foreign") == 0))
 
 
-def storage_decisions(accepted: DataFrame, similar: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """run_id, position, action: duplicate (the same sources as an earlier one, or a row above the threshold), update
-    (it names a target) or create.
+def storage_decisions(accepted: DataFrame, same_sources: DataFrame, nearest: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """run_id, position, action, duplicate_of: what becomes of accepted candidates (run_id, position, operation).
 
-    accepted: (run_id, position, source_ids, target_id); similar: (run_id, position, similarity) of its nearest row.
+    A CREATE is an exact duplicate if a stored discovery with the same set of sources is more similar than the
+    threshold (of several the smallest id), else a semantic duplicate if its nearest active parent row is. Updates and
+    supersessions are never duplicates. same_sources: (run_id, position, id, similarity), any number of each; nearest: (run_id,
+    position, id, similarity) of the nearest row.
     """
-    first = Window.partitionBy(F.array_join(F.array_sort("source_ids"), ",")).orderBy("run_id", "position")
-    ranked = accepted.withColumn("_n", F.row_number().over(first)).join(similar, ["run_id", "position"], "left")
-    repeated = (F.col("_n") > 1) | (F.coalesce("similarity", F.lit(0.0)) > threshold)
-    return ranked.select("run_id", "position", F.when(repeated, "duplicate").when(F.col("target_id").isNotNull(), "update").otherwise("create").alias("action"))
+    key = ["run_id", "position"]
+    exact = same_sources.where(F.col("similarity") > threshold).groupBy(*key).agg(F.min("id").alias("_exact"))
+    near = nearest.where(F.col("similarity") > threshold).groupBy(*key).agg(F.min_by("id", F.struct(-F.col("similarity"), "id")).alias("_near"))
+    rows = accepted.join(exact, key, "left").join(near, key, "left")
+    fresh = F.col("operation") == "CREATE"
+    action = F.when(fresh & F.col("_exact").isNotNull(), "duplicate").when(fresh & F.col("_near").isNotNull(), "semantic_duplicate").otherwise(F.lower("operation"))
+    return rows.select(*key, action.alias("action"), F.when(fresh, F.coalesce("_exact", "_near")).alias("duplicate_of"))
 
 
 def rechunk_plan(expected: DataFrame, stored: DataFrame) -> DataFrame:

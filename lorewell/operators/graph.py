@@ -52,16 +52,23 @@ def remap(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return merge(edges)
 
 
-def neighbours(edges: DataFrame, rows: DataFrame, as_of: str) -> DataFrame:
-    """id, other, relation, direction, title, created_at: live edges from either end, one for each other row,
-    relation and direction, the newest; both directions of a symmetric relation are one."""
-    kept = live(edges, as_of)
-    both = kept.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "relation", F.lit("out").alias("way"), "created_at").unionByName(
-        kept.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "relation", F.lit("in").alias("way"), "created_at")
+def neighbours(edges: DataFrame, rows: DataFrame, as_of: str, include_expired: bool = False) -> DataFrame:
+    """id, other, relation, direction, note, created_at, expired_at, title, status: edges from either end of each row.
+
+    One for each other row, relation and direction, both directions of a symmetric relation being one: a live one
+    before an expired one, of these the one that expired first, then the newest, then the smaller source and target.
+    Without include_expired only live edges count.
+    """
+    kept = edges if include_expired else live(edges, as_of)
+    columns = ["relation", "note", "created_at", "expired_at", "source_id", "target_id"]
+    both = kept.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.lit("out").alias("way"), *columns).unionByName(
+        kept.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), F.lit("in").alias("way"), *columns)
     )
     way = F.when(F.col("relation").isin(*SYMMETRIC), "both").otherwise(F.col("way"))
-    newest = both.withColumn("direction", way).groupBy("id", "other", "relation", "direction").agg(F.max("created_at").alias("created_at"))
-    return newest.join(rows.select(F.col("id").alias("other"), "title", "status"), "other")
+    second = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    order = F.struct(F.coalesce(second("expired_at"), F.lit(-(2**62))), -second("created_at"), "source_id", "target_id")
+    best = both.withColumn("direction", way).groupBy("id", "other", "relation", "direction").agg(F.min_by(F.struct("note", "created_at", "expired_at"), order).alias("_edge"))
+    return best.select("id", "other", "relation", "direction", "_edge.*").join(rows.select(F.col("id").alias("other"), "title", "status"), "other")
 
 
 def stale(edges: DataFrame, used: DataFrame, as_of: str, older: int = 90) -> DataFrame:

@@ -11,7 +11,7 @@ SEATS = ("seat_a", "seat_b", "seat_c", "seat_d")
 def latest_runs(runs: DataFrame, n: int, kind: str | None = None) -> DataFrame:
     """The n runs that completed last, of one kind if given."""
     done = runs.where("completed_at IS NOT NULL")
-    return (done.where(F.col("run_type") == kind) if kind else done).orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
+    return (done.where(F.col("run_type") == kind) if kind else done).orderBy(F.desc("completed_at"), F.desc("run_id")).limit(n)
 
 
 def of_latest(candidates: DataFrame, runs: DataFrame, n: int) -> DataFrame:
@@ -39,15 +39,21 @@ def accepted_dissents(candidates: DataFrame, runs: DataFrame, n: int) -> DataFra
 
 
 def process_metrics(candidates: DataFrame, runs: DataFrame, n: int) -> DataFrame:
-    """One row over the latest n runs: acceptance, share of split votes, strategies, the trend oldest first, cost."""
+    """One row over the n runs that completed last: acceptance, its trend oldest first, the share of accepted candidates
+    that some seat rejected, different strategies, and what was accepted for each call.
+
+    A run calls once to explore, once for each two candidates, at least once, and four times to judge each.
+    """
     own = of_latest(candidates, runs, n)
-    split = F.size(F.array_distinct(F.array(*SEATS))) > 1
+    against = F.array_contains(F.array(*SEATS), "reject")
     each = own.groupBy("run_id", "started_at").agg(F.count("*").alias("n"), F.count_if(accepted()).alias("a"))
     trend = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("started_at", "run_id", F.round(F.col("a") / F.col("n"), 4).cast("string").alias("rate")))), lambda s: s["rate"]), " ")
     calls = F.sum(1 + F.greatest(F.lit(1), F.ceil(F.col("n") / 2)) + 4 * F.col("n"))
-    one = own.agg(F.count("*").alias("generated"), F.count_if(accepted()).alias("accepted"), F.round(F.avg(split.cast("int")), 6).alias("split_share"), F.countDistinct("strategy").alias("strategies"))
-    runs_row = each.agg(F.count("*").alias("runs"), trend.alias("trend"), calls.cast("long").alias("calls"))
-    return one.join(runs_row).withColumn("acceptance", F.round(F.col("accepted") / F.col("generated"), 6))
+    one = own.agg(F.count("*").alias("generated"), F.count_if(accepted()).alias("accepted"), F.count_if(accepted() & against).alias("split"), F.countDistinct("strategy").alias("strategies"))
+    runs_row = each.agg(F.count("*").alias("runs"), trend.alias("trend"), F.coalesce(calls, F.lit(0)).cast("long").alias("calls"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
+    ratios = {"acceptance": share("accepted", "generated"), "split_share": share("split", "accepted"), "cost_efficiency": share("accepted", "calls")}
+    return one.join(runs_row).withColumns(ratios).drop("split")
 
 
 def engagement(candidates: DataFrame, memories: DataFrame, children: DataFrame) -> DataFrame:
@@ -58,11 +64,15 @@ def engagement(candidates: DataFrame, memories: DataFrame, children: DataFrame)
     return made.groupBy("strategy").agg(F.count("*").alias("created"), F.count("user_rejected_at").alias("rejected"), F.round(F.avg("used"), 6).alias("mean_access"))
 
 
-def strategy_bonus(candidates: DataFrame, weight: float = 1.5) -> DataFrame:
-    """strategy, tried, accepted, bonus: the upper confidence bound's share of exploration."""
+def strategy_bonus(candidates: DataFrame, strategies: DataFrame | None = None, weight: float = 1.5) -> DataFrame:
+    """strategy, tried, accepted, bonus: the upper confidence bound's share of exploration, for all of `strategies` (those
+    of the candidates, if not given); infinite for one that was never tried."""
     counts = candidates.groupBy("strategy").agg(F.count("*").alias("tried"), F.count_if(accepted()).alias("accepted"))
+    if strategies is not None:
+        counts = strategies.select("strategy").distinct().join(counts, "strategy", "left").select("strategy", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("tried", "accepted")])
     everything = F.sum("tried").over(Window.partitionBy())
-    return counts.withColumn("bonus", F.round(weight * F.sqrt(F.log(everything) / F.col("tried")), 6))
+    bonus = F.round(weight * F.sqrt(F.log(everything) / F.col("tried")), 6)
+    return counts.withColumn("bonus", F.when(F.col("tried") == 0, float("inf")).otherwise(bonus))
 
 
 def panel_matrix(candidates: DataFrame) -> DataFrame:
@@ -84,39 +94,62 @@ def previous_run(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "run_type", F.last(F.when(F.col("completed_at").isNotNull(), F.col("run_id")), ignorenulls=True).over(before).alias("previous"))
 
 
-def slice_metrics(slices: DataFrame, memories: DataFrame, arrivals_since: str) -> DataFrame:
-    """Measures of each slice (run_id, position, ids): found, sources, projects, the largest source's share, new, anchored.
+def anchored(arrival: str = "arrival_share", sources: str = "source_types") -> Column:
+    """Most of a slice is new, and it has more than one source."""
+    return (F.col(arrival) >= 0.6) & (F.col(sources) >= 2)
+
 
-    A slice is anchored if at least half of it is new and it has two sources or more.
+def slice_metrics(slices: DataFrame, memories: DataFrame, arrivals_since: str, previous: DataFrame | None = None, episodic: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Eleven measures of each slice (run_id, position, ids), and whether it is anchored.
+
+    Ids count once; shares are of those that resolve, to three places, revisits of all that were asked for. previous: ids of
+    slices of recent runs. memories: (id, parent_id, type, source_type, project, created_at). source_mix gives each
+    channel's rows by name; of channels or projects with equal counts the first name is dominant.
     """
-    ids = slices.select("run_id", "position", F.size("ids").alias("asked"), F.explode(F.array_distinct("ids")).alias("id"))
-    known = ids.join(memories.select("id", "source_type", "project", "created_at"), "id")
+    seen = (previous if previous is not None else memories.limit(0)).select(F.col("id"), F.lit(1).alias("_seen")).distinct()
+    ids = slices.select("run_id", "position", F.explode_outer(F.array_distinct("ids")).alias("id")).join(seen, "id", "left")
+    asked = ids.groupBy("run_id", "position").agg(F.count("id").alias("requested"), F.count("_seen").alias("_again"))
+    known = ids.join(memories.select("id", F.coalesce("parent_id", "id").alias("_parent"), "type", F.coalesce("source_type", F.lit("unknown")).alias("source_type"), "project", "created_at"), "id")
     new = F.count_if(F.col("created_at") >= F.lit(arrivals_since).cast("timestamp_ntz"))
-    per = known.groupBy("run_id", "position", "asked", "source_type").agg(F.count("*").alias("n"), new.alias("new"), F.collect_set("project").alias("projects"))
-    out = per.groupBy("run_id", "position", "asked").agg(
-        F.sum("n").alias("resolved"),
-        F.count("*").alias("sources"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("projects")))).alias("projects"),
-        F.max("n").alias("top_n"),
-        F.bround(F.max("n") / F.sum("n"), 6).alias("top_share"),
-        F.sum("new").alias("new"),
+    total = known.groupBy("run_id", "position").agg(F.count("*").alias("resolved"), new.alias("_new"), F.count_if(F.col("type").isin(*episodic)).alias("_episodic"), F.countDistinct("_parent").alias("distinct_parents"))
+    key = ["run_id", "position"]
+    per = known.groupBy(*key, "source_type").agg(F.count("*").alias("n")).groupBy(*key).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "n")))).alias("source_mix"), F.count("*").alias("source_types"), F.max("n").alias("_top"), F.min_by("source_type", F.struct(-F.col("n"), "source_type")).alias("dominant_source")
     )
-    return out.withColumn("anchored", (F.col("new") >= F.ceil(F.col("resolved") / 2)) & (F.col("sources") >= 2))
+    projects = known.where("project IS NOT NULL AND project <> ''").groupBy(*key, "project").agg(F.count("*").alias("n")).groupBy(*key).agg(F.min_by("project", F.struct(-F.col("n"), "project")).alias("top_project"))
+    wide = asked.join(total, key, "left").join(per, key, "left").join(projects, key, "left")
+    share = lambda x, of="resolved": F.when(F.coalesce(of, F.lit(0)) > 0, F.round(F.col(x) / F.col(of), 3)).otherwise(0.0)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = wide.select(
+        *key, "requested", zero("resolved"), share("_new").alias("arrival_share"), "source_mix", zero("source_types"), share("_top").alias("concentration"), F.coalesce("dominant_source", F.lit("")).alias("dominant_source"),
+        share("_episodic").alias("episodic_share"), zero("distinct_parents"), share("_again", "requested").alias("revisit_share"), "top_project",
+    )
+    return out.withColumn("anchored", anchored())
 
 
 def run_metrics(slices: DataFrame) -> DataFrame:
-    """Per run: slices, anchored ones, shares weighted by what each slice resolved to."""
-    weighted = F.sum("top_n") / F.sum("resolved")
-    return slices.groupBy("run_id").agg(F.count("*").alias("slices"), F.count_if("anchored").alias("anchored"), F.bround(weighted, 6).alias("top_share"), F.bround(F.sum("new") / F.sum("resolved"), 6).alias("new_share"))
+    """Per run: slices, memories, anchored slices, the merged source mix, its channels and the largest one's share, and the
+    slices' shares weighted by what each resolved to."""
+    mix = slices.select("run_id", F.explode("source_mix").alias("source_type", "n")).groupBy("run_id", "source_type").agg(F.sum("n").alias("n"))
+    merged = mix.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "n")))).alias("source_mix"), F.count("*").alias("source_types"), F.max("n").alias("_top"))
+    weighted = lambda c: F.coalesce(F.round(F.sum(F.col(c) * F.col("resolved")) / F.sum("resolved"), 3), F.lit(0.0)).alias(c)
+    total = slices.groupBy("run_id").agg(F.count("*").alias("slices"), F.sum("resolved").alias("memories"), F.count_if("anchored").alias("anchored"), weighted("arrival_share"), weighted("episodic_share"), weighted("revisit_share"))
+    return total.join(merged, "run_id", "left").withColumn("concentration", F.coalesce(F.round(F.col("_top") / F.col("memories"), 3), F.lit(0.0))).drop("_top")
+
 
+def budget(slices: DataFrame, concentrated: float = 0.8, keep: int = 2, crowd: int = 3) -> DataFrame:
+    """Slices that stay: those that resolved; of `crowd` or more concentrated unanchored ones of one source, `keep`.
 
-def budget(slices: DataFrame, concentrated: float = 0.6, keep: int = 2, crowd: int = 3) -> DataFrame:
-    """Slices that stay: those that resolved; of `crowd` or more concentrated unanchored ones of one source, `keep`."""
-    tight = (F.col("top_share") >= concentrated) & ~F.col("anchored")
-    group = Window.partitionBy("run_id", "top_source", "tight")
+    needs_arrivals tells of each run whether fewer than half of its kept slices, rounded up, are anchored, so that one of
+    arrivals has to be added; a run without kept slices isn't among the rows and needs one too.
+    """
+    tight = (F.col("concentration") >= concentrated) & ~F.col("anchored")
+    group = Window.partitionBy("run_id", "dominant_source", "tight")
     ranked = slices.where("resolved > 0").withColumn("tight", tight)
     ranked = ranked.withColumn("crowd", F.count("*").over(group)).withColumn("nth", F.row_number().over(group.orderBy("position")))
-    return ranked.where(~F.col("tight") | (F.col("crowd") < crowd) | (F.col("nth") <= keep)).drop("crowd", "nth")
+    kept = ranked.where(~F.col("tight") | (F.col("crowd") < crowd) | (F.col("nth") <= keep)).drop("crowd", "nth")
+    run = Window.partitionBy("run_id")
+    return kept.withColumn("needs_arrivals", F.count_if("anchored").over(run) < F.ceil(F.count("*").over(run) / 2))
 
 
 def interleave(rows: DataFrame, tier: str, channel: str, order: list[Column]) -> DataFrame:

@@ -38,9 +38,11 @@ def merged_map(old: Column, new: Column, kind) -> Column:
 
 
 def bump(stored: DataFrame, uses: DataFrame) -> DataFrame:
-    """access_count plus the number of distinct times each id was used; last_accessed_at moves with it."""
+    """access_count plus the number of times each id was used; last_accessed_at becomes the last of them, and never earlier
+    than it was. Rows that weren't used stay as they are."""
     counts = uses.groupBy("id").agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
-    return stored.join(counts, "id", "left").withColumns({"access_count": F.col("access_count") + F.coalesce("_n", F.lit(0)), "last_accessed_at": F.col("_at")}).drop("_n", "_at")
+    used = {"access_count": F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_accessed_at": F.greatest("last_accessed_at", "_at")}
+    return stored.join(counts, "id", "left").withColumns(used).drop("_n", "_at")
 
 
 def replace_by(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus_queries, curation_queries, ledger_queries, retrieval_queries, selection_queries, text_queries  # noqa: F401
+from . import capture_queries, corpus_queries, curation_queries, ledger_queries, retrieval_queries, selection_queries, text_queries, upkeep_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -68,12 +68,27 @@ def text_digests(spark, d):
 
 @query(
     with_views(MEMORIES, CHUNKS)
-    + """, p AS (SELECT id, FIRST_VALUE(id) OVER (PARTITION BY source_type, project, status, sha256(content) ORDER BY created_at, id) AS survivor FROM memories),
-c AS (SELECT c.id, FIRST_VALUE(c.id) OVER (PARTITION BY COALESCE(p.survivor, c.parent_id), c.chunk_index, c.status, sha256(c.content) ORDER BY c.id) AS survivor FROM chunks c LEFT JOIN p ON p.id = c.parent_id)
-SELECT id, survivor, 'parent' AS pass FROM p WHERE id <> survivor UNION ALL SELECT id, survivor, 'chunk' FROM c WHERE id <> survivor"""
+    + """, r AS (SELECT id, NULL::BIGINT AS parent_id, CASE WHEN id % 11 = 3 THEN 'insight' ELSE 'source' END AS type, CASE WHEN id % 13 = 5 THEN 'distilled_chat' ELSE source_type END AS source_type, CASE WHEN id % 17 <> 2 THEN 'https://e.org/' || left(md5(content), 2) END AS url, project, status, CASE WHEN id % 19 = 4 THEN 'task' END AS record_kind, NULL::INTEGER AS chunk_index, content, created_at FROM memories
+  UNION ALL SELECT id, parent_id, 'source', source_type, 'https://e.org/c', project, status, NULL, chunk_index, content, TIMESTAMP '2024-01-01' + to_hours((parent_id % 1000)::INTEGER) FROM chunks),
+k AS (SELECT *, sha256(content) AS hash FROM r WHERE type = 'source' AND COALESCE(url, '') <> '' AND source_type <> 'distilled_chat' AND record_kind IS NULL),
+p AS (SELECT id, FIRST_VALUE(id) OVER (PARTITION BY source_type, url, project, type, hash, status ORDER BY created_at, id) AS new_id FROM k WHERE parent_id IS NULL),
+c AS (SELECT k.id, FIRST_VALUE(k.id) OVER (PARTITION BY COALESCE(p.new_id, k.parent_id), source_type, url, project, type, chunk_index, hash, status ORDER BY created_at, k.id) AS new_id FROM k LEFT JOIN p ON p.id = k.parent_id WHERE k.parent_id IS NOT NULL)
+SELECT id AS old_id, new_id, 2 AS pass FROM p WHERE id <> new_id UNION ALL SELECT id, new_id, 1 FROM c WHERE id <> new_id"""
 )
 def dedup_plan(spark, d):
-    return corpus.dedup_plan(v.memories(spark, d), v.chunks(spark, d))
+    return corpus.dedup_plan(_identified(spark, d))
+
+
+def _identified(spark, d):
+    """Documents and chunks with the seven fields that tell captured sources apart, some of them of other kinds."""
+    i, null = F.col("id"), F.lit(None)
+    parents = v.memories(spark, d).select(
+        "id", null.cast("long").alias("parent_id"), F.when(i % 11 == 3, "insight").otherwise("source").alias("type"), F.when(i % 13 == 5, "distilled_chat").otherwise(F.col("source_type")).alias("source_type"),
+        F.when(i % 17 != 2, F.concat(F.lit("https://e.org/"), F.left(F.md5(F.col("content").cast("binary")), F.lit(2)))).alias("url"), "project", "status", F.when(i % 19 == 4, "task").alias("record_kind"), null.cast("int").alias("chunk_index"), "content", "created_at",
+    )
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.pmod("parent_id", F.lit(1000)).cast("int"))
+    pieces = v.chunks(spark, d).withColumns({"type": F.lit("source"), "url": F.lit("https://e.org/c"), "record_kind": null.cast("string"), "created_at": at})
+    return parents.unionByName(pieces)
 
 
 @query(with_views(MEMORIES) + "SELECT id, type, title, source_type, project, status, created_at, access_count FROM memories WHERE type = 'decision' AND (project = 'en' OR project IS NULL) ORDER BY created_at DESC, id LIMIT 40 OFFSET 5")

@@ -38,12 +38,18 @@ def _once(spark, d):
 
 @query(
     with_views(CANDIDATES, ONCE)
-    + """, a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sources ORDER BY run_id, position) AS n FROM once)
-SELECT run_id, position, CASE WHEN n > 1 OR score > 0.08 THEN 'duplicate' WHEN memory_id IS NOT NULL THEN 'update' ELSE 'create' END AS action FROM a"""
+    + """, o AS (SELECT *, CASE WHEN memory_id IS NULL THEN 'CREATE' WHEN memory_id % 2 = 0 THEN 'UPDATE' ELSE 'SUPERSEDE' END AS operation FROM once),
+e AS (SELECT run_id, position, MIN(b.id) AS id FROM o JOIN (SELECT sources, run_id AS id, score * 10 AS similarity FROM once WHERE position = 1) b USING (sources) WHERE b.id < run_id AND similarity > 0.35 GROUP BY 1, 2)
+SELECT o.run_id, o.position, CASE WHEN operation = 'CREATE' AND e.id IS NOT NULL THEN 'duplicate' WHEN operation = 'CREATE' AND score > 0.08 THEN 'semantic_duplicate' ELSE lower(operation) END AS action,
+  CASE WHEN operation = 'CREATE' THEN COALESCE(e.id, CASE WHEN score > 0.08 THEN o.run_id % 7 END) END AS duplicate_of FROM o LEFT JOIN e USING (run_id, position)"""
 )
 def storage_decisions(spark, d):
-    c = _once(spark, d)
-    return curation.storage_decisions(c.drop("similarity"), c.select("run_id", "position", "similarity"), 0.08)
+    once = _once(spark, d).withColumn("sources", F.array_join("source_ids", ","))
+    operation = F.when(F.col("target_id").isNull(), "CREATE").when(F.col("target_id") % 2 == 0, "UPDATE").otherwise("SUPERSEDE")
+    stored = once.where("position = 1").select("sources", F.col("run_id").alias("id"), (F.col("similarity") * 10).alias("similarity"))
+    same = once.select("run_id", "position", "sources").join(stored, "sources").where("id < run_id").withColumn("similarity", F.when(F.col("similarity") > 0.35, 0.9).otherwise(0.1))
+    near = once.select("run_id", "position", (F.col("run_id") % 7).alias("id"), F.when(F.col("similarity") > 0.08, 0.9).otherwise(0.5).alias("similarity"))
+    return curation.storage_decisions(once.withColumn("operation", operation), same, near)
 
 
 @query(
@@ -217,10 +223,10 @@ def runs_to_backfill(spark, d):
 
 @query(
     with_views(*rq.RANKED)
-    + """SELECT query_id, id FROM (SELECT f.query_id, f.id, ROW_NUMBER() OVER (PARTITION BY f.query_id ORDER BY f.final_rank) AS n FROM final f JOIN memories m ON m.id = f.id WHERE f.id <> f.query_id AND m.type = 'decision') WHERE n = 1"""
+    + """SELECT query_id, id FROM (SELECT f.query_id, f.id, ROW_NUMBER() OVER (PARTITION BY f.query_id ORDER BY f.final_rank) AS n FROM final f JOIN rows m ON m.id = f.id WHERE f.id <> f.query_id AND m.type = 'decision') WHERE n = 1"""
 )
 def prior_decisions(spark, d):
-    ranked = retrieval.rerank(rq._pairs(spark, d), AS_OF).where("type = 'decision' AND id <> query_id")
+    ranked = rq._reranked(spark, d).where("type = 'decision' AND id <> query_id")
     return ranked.groupBy("query_id").agg(F.min_by("id", "final_rank").alias("id"))
 
 
@@ -230,13 +236,13 @@ SETS = (("plain", 0.45, 0.2), ("words", 0.1, 0.6), ("ranks", 0.8, 0.0), ("none",
 @query(
     with_views(*rq.RANKED, rq.EXPECTED)
     + f""", w(name, a, b) AS (VALUES {', '.join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in SETS)}),
-s AS (SELECT name, query_id, id, ROW_NUMBER() OVER (PARTITION BY name, query_id ORDER BY round((normalised * a + overlap * b + title_overlap * 0.1 + recency * 0.1 + len_score * 0.05 + confidence * 0.05 + spacing * 0.02 + boost + penalty)::DOUBLE, 6) DESC, id) AS rank FROM signals, w),
+s AS (SELECT name, query_id, id, ROW_NUMBER() OVER (PARTITION BY name, query_id ORDER BY round((normalised * a + overlap * b + title_overlap * 0.18 + context_overlap * 0.10 + recency * 0.12 + len_score * 0.08 + depth * 0.05 + reinforcement + boost + penalty)::DOUBLE, 6) DESC, id) AS rank FROM signals, w),
 h AS (SELECT name, query_id, MIN(rank) AS rank FROM s WHERE (query_id, id) IN (SELECT query_id, id FROM expected) GROUP BY 1, 2)
 SELECT name, round(SUM(1.0::DOUBLE / rank) / (SELECT COUNT(DISTINCT query_id) FROM expected), 6) AS mrr FROM h GROUP BY name"""
 )
 def weight_search(spark, d):
     weights = spark.createDataFrame(list(SETS), "name string, w_rrf double, w_overlap double")
-    signals = retrieval.signals(rq._pairs(spark, d), AS_OF)
+    signals = retrieval.signals(rq._pool(spark, d), rq._rows(spark, d), rq._asked(spark, d), AS_OF)
     return evaluation.search(signals, weights, rq._expected(spark, d), retrieval.score({"rrf": F.col("w_rrf"), "overlap": F.col("w_overlap")}))
 
 
@@ -250,7 +256,9 @@ def faithfulness_counts(spark, d):
 
 @query()
 def subsequence_turns(spark, d):
-    """conv_id, contained: whether a conversation's questions stand in its turns in order (they always do)."""
+    """conv_id, contained: whether a conversation's questions, in every second one backwards, stand in its turns in order;
+    tests hold it against a plain loop."""
     ordered = lambda rows: F.transform(F.array_sort(F.collect_list(rows)), lambda s: s["text"])
     turns = read(spark, d, "conversations").groupBy("conv_id").agg(ordered(F.struct("turn", "text")).alias("whole"), ordered(F.when(F.col("role") == "user", F.struct("turn", "text"))).alias("part"))
+    turns = turns.withColumn("part", F.when(F.col("conv_id") % 2 == 1, F.reverse("part")).otherwise(F.col("part")))
     return turns.select("conv_id", curation.contains_in_order(F.col("whole"), F.col("part")).alias("contained"))

@@ -18,12 +18,24 @@ ORIENTED = """oriented AS (SELECT CASE WHEN relation IN ('contradicts', 'relates
 
 @query(
     with_views(MEMORIES, EDGES, LIVE)
-    + """, b AS (SELECT source_id AS id, target_id AS other, relation, 'out' AS way, created_at FROM live UNION ALL SELECT target_id, source_id, relation, 'in', created_at FROM live),
-n AS (SELECT id, other, relation, CASE WHEN relation IN ('contradicts', 'relates_to') THEN 'both' ELSE way END AS direction, MAX(created_at) AS created_at FROM b GROUP BY ALL)
-SELECT n.id, n.other, n.relation, n.direction, n.created_at, m.title, m.status FROM n JOIN memories m ON m.id = n.other"""
+    + """, b AS (SELECT source_id AS id, target_id AS other, 'out' AS way, * FROM live UNION ALL SELECT target_id, source_id, 'in', * FROM live),
+n AS (SELECT *, CASE WHEN relation IN ('contradicts', 'relates_to') THEN 'both' ELSE way END AS direction FROM b),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id, other, relation, direction ORDER BY expired_at NULLS FIRST, created_at DESC, source_id, target_id) AS k FROM n)
+SELECT o.id, o.other, o.relation, o.direction, o.created_at, o.expired_at, m.title, m.status FROM o JOIN memories m ON m.id = o.other WHERE k = 1"""
 )
 def live_neighbours(spark, d):
-    return graph.neighbours(v.edges(spark, d), v.memories(spark, d), LATER)
+    return graph.neighbours(v.edges(spark, d), v.memories(spark, d), LATER).drop("note")
+
+
+@query(
+    with_views(MEMORIES, EDGES)
+    + """, b AS (SELECT source_id AS id, target_id AS other, 'out' AS way, * FROM edges UNION ALL SELECT target_id, source_id, 'in', * FROM edges),
+n AS (SELECT *, CASE WHEN relation IN ('contradicts', 'relates_to') THEN 'both' ELSE way END AS direction FROM b),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id, other, relation, direction ORDER BY expired_at NULLS FIRST, created_at DESC, source_id, target_id) AS k FROM n)
+SELECT o.id, o.other, o.relation, o.direction, o.created_at, o.expired_at, m.title FROM o JOIN memories m ON m.id = o.other WHERE k = 1"""
+)
+def all_neighbours(spark, d):
+    return graph.neighbours(v.edges(spark, d), v.memories(spark, d), LATER, include_expired=True).drop("note", "status")
 
 
 @query(
@@ -117,8 +129,8 @@ def accepted_dissents(spark, d):
     with_views(RUNS, CANDIDATES, LATEST, OWN)
     + """, e AS (SELECT run_id, started_at, COUNT(*) AS n, COUNT(*) FILTER (votes >= 3) AS a FROM own GROUP BY 1, 2),
 r AS (SELECT COUNT(*) AS runs, SUM(1 + GREATEST(1, ceil(n / 2)) + 4 * n)::BIGINT AS calls FROM e)
-SELECT COUNT(*) AS generated, COUNT(*) FILTER (votes >= 3) AS accepted, round(avg((len(list_distinct([seat_a, seat_b, seat_c, seat_d])) > 1)::INTEGER), 6) AS split_share, COUNT(DISTINCT strategy) AS strategies,
-  round(COUNT(*) FILTER (votes >= 3) / COUNT(*), 6) AS acceptance, MAX(r.runs) AS runs, MAX(r.calls) AS calls FROM own, r"""
+SELECT COUNT(*) AS generated, COUNT(*) FILTER (votes >= 3) AS accepted, round(COUNT(*) FILTER (votes >= 3 AND 'reject' IN (seat_a, seat_b, seat_c, seat_d)) / COUNT(*) FILTER (votes >= 3), 6) AS split_share, COUNT(DISTINCT strategy) AS strategies,
+  round(COUNT(*) FILTER (votes >= 3) / COUNT(*), 6) AS acceptance, round(COUNT(*) FILTER (votes >= 3) / MAX(r.calls), 6) AS cost_efficiency, MAX(r.runs) AS runs, MAX(r.calls) AS calls FROM own, r"""
 )
 def tier1_metrics(spark, d):
     return ledger.process_metrics(v.candidates(spark, d), v.runs(spark, d), 50).drop("trend")
@@ -137,10 +149,12 @@ def tier2_metrics(spark, d):
 @query(
     with_views(CANDIDATES)
     + """, c AS (SELECT strategy, COUNT(*) AS tried, COUNT(*) FILTER ((seat_a = 'accept')::INTEGER + (seat_b = 'accept')::INTEGER + (seat_c = 'accept')::INTEGER + (seat_d = 'accept')::INTEGER >= 3) AS accepted FROM candidates GROUP BY 1)
-SELECT strategy, tried, accepted, round(1.5 * sqrt(ln(SUM(tried) OVER ()) / tried), 6) AS bonus FROM c"""
+SELECT strategy, tried, accepted, round(1.5 * sqrt(ln(SUM(tried) OVER ()) / tried), 6) AS bonus FROM c UNION ALL SELECT 'analogy', 0, 0, 'infinity'::DOUBLE"""
 )
 def strategy_ucb1(spark, d):
-    return ledger.strategy_bonus(v.candidates(spark, d))
+    c = v.candidates(spark, d)
+    known = c.select("strategy").unionByName(spark.createDataFrame([("analogy",)], "strategy string"))
+    return ledger.strategy_bonus(c, known)
 
 
 @query(
@@ -174,37 +188,54 @@ def arrival_window(spark, d):
     return ledger.arrival_window(v.runs(spark, d))
 
 
-SLICES = "slices AS (SELECT run_id, position, source_ids AS ids FROM candidates)"
+SLICES = "slices AS (SELECT run_id, position, MIN(list_sort(source_ids)) AS ids FROM candidates GROUP BY 1, 2)"
 #: Half of the corpus, whatever its size, counts as new.
 SINCE = "2024-01-20 00:00:00"
-MEASURED = f"""k AS (SELECT s.run_id, s.position, len(s.ids)::INTEGER AS asked, x.id FROM slices s, unnest(list_distinct(s.ids)) AS x(id)),
-p AS (SELECT run_id, position, asked, source_type, COUNT(*) AS n, COUNT(*) FILTER (created_at >= TIMESTAMP '{SINCE}') AS fresh, list(DISTINCT project) AS ps FROM k JOIN memories USING (id) GROUP BY ALL),
-measured AS (SELECT run_id, position, asked, SUM(n)::BIGINT AS resolved, COUNT(*) AS sources, len(list_distinct(flatten(list(ps))))::INTEGER AS projects, MAX(n) AS top_n, round_even(MAX(n) / SUM(n), 6) AS top_share, SUM(fresh)::BIGINT AS new,
-  SUM(fresh) >= ceil(SUM(n) / 2) AND COUNT(*) >= 2 AS anchored FROM p GROUP BY ALL)"""
+MEASURED = f"""k AS (SELECT s.run_id, s.position, x.id, x.id % 6 = 0 AS again FROM slices s, unnest(list_distinct(s.ids)) AS x(id)),
+j AS (SELECT k.*, m.type, m.source_type, m.project, m.created_at, m.id IS NOT NULL AS there FROM k LEFT JOIN (SELECT * FROM memories WHERE id % 10 <> 7) m USING (id)),
+px AS (SELECT run_id, position, source_type, COUNT(*) AS n FROM j WHERE there GROUP BY ALL), pj AS (SELECT run_id, position, project, COUNT(*) AS n FROM j WHERE there AND project IS NOT NULL GROUP BY ALL),
+mixes AS (SELECT run_id, position, string_agg(source_type || ':' || n, ',' ORDER BY source_type) AS source_mix, COUNT(*) AS source_types, MAX(n) AS top, arg_min(source_type, (-n, source_type)) AS dominant_source FROM px GROUP BY 1, 2),
+tops AS (SELECT run_id, position, arg_min(project, (-n, project)) AS top_project FROM pj GROUP BY 1, 2),
+totals AS (SELECT run_id, position, COUNT(*) AS requested, COUNT(*) FILTER (there) AS resolved, COUNT(*) FILTER (there AND created_at >= TIMESTAMP '{SINCE}') AS fresh, COUNT(*) FILTER (there AND type IN ('learning', 'reference')) AS epi, COUNT(DISTINCT CASE WHEN there THEN id END) AS distinct_parents, COUNT(*) FILTER (again) AS agains FROM j GROUP BY 1, 2),
+measured AS (SELECT t.run_id, t.position, requested, resolved, CASE WHEN resolved > 0 THEN round(fresh / resolved, 3) ELSE 0 END AS arrival_share, source_mix, COALESCE(source_types, 0) AS source_types, CASE WHEN resolved > 0 THEN round(top / resolved, 3) ELSE 0 END AS concentration, COALESCE(dominant_source, '') AS dominant_source,
+  CASE WHEN resolved > 0 THEN round(epi / resolved, 3) ELSE 0 END AS episodic_share, distinct_parents, round(agains / requested, 3) AS revisit_share, top_project, CASE WHEN resolved > 0 THEN round(fresh / resolved, 3) ELSE 0 END >= 0.6 AND COALESCE(source_types, 0) >= 2 AS anchored FROM totals t LEFT JOIN mixes USING (run_id, position) LEFT JOIN tops USING (run_id, position))"""
+
+
+def _measured(spark, d):
+    """The first candidate of each run and position as a slice."""
+    rows = v.memories(spark, d).withColumn("parent_id", F.lit(None).cast("long"))
+    slices = v.candidates(spark, d).groupBy("run_id", "position").agg(F.min(F.array_sort("source_ids")).alias("ids"))
+    return ledger.slice_metrics(slices, rows.where("id % 10 <> 7"), SINCE, rows.where("id % 6 = 0"), ("learning", "reference"))
+
+
+def _mix(df):
+    entries = F.transform(F.map_entries("source_mix"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return df.withColumn("source_mix", F.when(F.col("source_mix").isNotNull(), F.array_join(entries, ",")))
 
 
 @query(with_views(MEMORIES, CANDIDATES, SLICES, MEASURED) + "SELECT * FROM measured")
 def slice_metrics(spark, d):
-    return ledger.slice_metrics(v.candidates(spark, d).select("run_id", "position", F.col("source_ids").alias("ids")), v.memories(spark, d), SINCE)
+    return _mix(_measured(spark, d))
 
 
 @query(
     with_views(MEMORIES, CANDIDATES, SLICES, MEASURED)
-    + "SELECT run_id, COUNT(*) AS slices, COUNT(*) FILTER (anchored) AS anchored, round_even(SUM(top_n) / SUM(resolved), 6) AS top_share, round_even(SUM(new) / SUM(resolved), 6) AS new_share FROM measured GROUP BY run_id"
+    + """, x AS (SELECT run_id, source_type, SUM(n) AS n FROM px GROUP BY 1, 2), m AS (SELECT run_id, string_agg(source_type || ':' || n, ',' ORDER BY source_type) AS source_mix, COUNT(*) AS source_types, MAX(n) AS top FROM x GROUP BY 1),
+t AS (SELECT run_id, COUNT(*) AS slices, SUM(resolved)::BIGINT AS memories, COUNT(*) FILTER (anchored) AS anchored, COALESCE(round(SUM(arrival_share * resolved) / SUM(resolved), 3), 0) AS arrival_share, COALESCE(round(SUM(episodic_share * resolved) / SUM(resolved), 3), 0) AS episodic_share, COALESCE(round(SUM(revisit_share * resolved) / SUM(resolved), 3), 0) AS revisit_share FROM measured GROUP BY 1)
+SELECT t.*, source_mix, source_types, COALESCE(round(top / memories, 3), 0)::DOUBLE AS concentration FROM t LEFT JOIN m USING (run_id)"""
 )
 def run_metrics(spark, d):
-    return ledger.run_metrics(slice_metrics(spark, d))
+    return _mix(ledger.run_metrics(_measured(spark, d)))
 
 
 @query(
     with_views(MEMORIES, CANDIDATES, SLICES, MEASURED)
-    + """, t AS (SELECT *, 'src' || (position % 2) AS top_source, top_share >= 0.6 AND NOT anchored AS tight FROM measured WHERE resolved > 0),
-r AS (SELECT *, COUNT(*) OVER (PARTITION BY run_id, top_source, tight) AS crowd, ROW_NUMBER() OVER (PARTITION BY run_id, top_source, tight ORDER BY position) AS nth FROM t)
-SELECT run_id, position, top_source, tight FROM r WHERE NOT tight OR crowd < 3 OR nth <= 2"""
+    + """, t AS (SELECT *, concentration >= 0.8 AND NOT anchored AS tight FROM measured WHERE resolved > 0),
+r AS (SELECT *, COUNT(*) OVER (PARTITION BY run_id, dominant_source, tight) AS crowd, ROW_NUMBER() OVER (PARTITION BY run_id, dominant_source, tight ORDER BY position) AS nth FROM t)
+SELECT run_id, position, dominant_source, tight, COUNT(*) FILTER (anchored) OVER (PARTITION BY run_id) < ceil(COUNT(*) OVER (PARTITION BY run_id) / 2) AS needs_arrivals FROM r WHERE NOT tight OR crowd < 3 OR nth <= 2"""
 )
 def slice_budget(spark, d):
-    named = slice_metrics(spark, d).withColumn("top_source", F.concat(F.lit("src"), F.pmod("position", F.lit(2)).cast("string")))
-    return ledger.budget(named).select("run_id", "position", "top_source", "tight")
+    return ledger.budget(_measured(spark, d)).select("run_id", "position", "dominant_source", "tight", "needs_arrivals")
 
 
 @query(
@@ -300,11 +331,11 @@ def upsert_latest(spark, d):
 
 @query(
     with_views(MEMORIES)
-    + "SELECT m.id, m.access_count + COALESCE(e.n, 0) AS access_count, e.at AS last_accessed_at FROM memories m LEFT JOIN (SELECT user_id AS id, COUNT(*) AS n, MAX(ts) AS at FROM events GROUP BY 1) e ON e.id = m.id"
+    + "SELECT m.id, m.access_count + COALESCE(e.n, 0) AS access_count, GREATEST(e.at, CASE WHEN m.id % 2 = 0 THEN m.created_at END) AS last_accessed_at FROM memories m LEFT JOIN (SELECT user_id AS id, COUNT(*) AS n, MAX(ts) AS at FROM events GROUP BY 1) e ON e.id = m.id"
 )
 def access_bump(spark, d):
     uses = read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at"))
-    return store.bump(v.memories(spark, d).select("id", "access_count"), uses)
+    return store.bump(v.memories(spark, d).select("id", "access_count", F.when(F.col("id") % 2 == 0, F.col("created_at")).alias("last_accessed_at")), uses)
 
 
 @query(

@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, retrieval, vectors
 from . import views as v
 from .registry import query
-from .views import AS_OF, MEMORIES, read, with_views
+from .views import AS_OF, CHUNKS, EDGES, MEMORIES, read, with_views
 
 WORDS = r"""list_filter(regexp_split_to_array(lower(regexp_replace({}, '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda t: t <> '')"""
 VECTORS = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"""
 NEAREST = """nearest AS (SELECT query_id, id, round(similarity, 9) AS similarity, (ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, id))::INTEGER AS rank
   FROM (SELECT a.id AS query_id, b.id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS similarity FROM v a, v b WHERE a.id % 50 = 0))"""
+#: Rows that a search is over: documents with what they answer, and their chunks.
+ROWS = f"""rows AS (
+  SELECT id, NULL::BIGINT AS parent_id, type, title, CASE WHEN id % 9 = 0 THEN 'Questions this answers: which' || chr(10) || '- ' || title || chr(10) || '* ' || project || chr(10) || content ELSE content END AS content,
+    source_type, project, status, mem_class, access_count, confidence AS depth, CASE WHEN id % 2 = 0 THEN source_type || ' ' || title END AS encoding_context, created_at, CASE WHEN id % 4 = 0 THEN created_at + to_days((id % 23)::INTEGER) END AS last_accessed_at FROM memories
+  UNION ALL SELECT id, parent_id, 'reference', NULL, content, source_type, project, status, 'source', 0, 0.0, NULL, NULL, NULL FROM chunks)"""
+PART = r"(?i)(?:^|\n)questions this answers:([^\n]*)\n?((?:[-*] [^\n]*(?:\n|$))*)"
 LEXICAL = f"""terms AS (SELECT item_id AS query_id, unnest(ts) AS term, len(ts)::INTEGER AS terms FROM (SELECT item_id, list_distinct({WORDS.format('text')}) AS ts FROM benchmark)),
-places AS (SELECT id, unnest({WORDS.format('title')}) AS term, 1.0::DOUBLE AS w FROM memories UNION ALL SELECT id, unnest({WORDS.format('content')}), 0.4::DOUBLE FROM memories),
+own AS (SELECT id, content, concat_ws(' ', title, regexp_extract(content, '{PART}', 1), regexp_extract(content, '{PART}', 2)) AS a, replace(content, regexp_extract(content, '{PART}', 2), '') AS b FROM rows r
+  WHERE NOT (parent_id IS NOT NULL AND status = 'superseded') AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.parent_id = r.id AND c.status = 'active')),
+places AS (SELECT id, unnest({WORDS.format('a')}) AS term, 1.0::DOUBLE AS w FROM own UNION ALL SELECT id, unnest({WORDS.format('b')}), 0.4::DOUBLE FROM own),
 counts AS (SELECT id, term, SUM(w) AS weight FROM places WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2),
-common AS (SELECT term, COUNT(*) / (SELECT COUNT(*) FROM memories) AS frequency FROM counts GROUP BY term HAVING COUNT(*) / (SELECT COUNT(*) FROM memories) > 0.05),
+common AS (SELECT term, COUNT(*) / (SELECT COUNT(*) FROM rows) AS frequency FROM counts GROUP BY term HAVING COUNT(*) / (SELECT COUNT(*) FROM rows) > 0.05),
 hits AS (SELECT query_id, c.id, MAX(terms) AS terms, COUNT(*) AS met, COUNT(*) FILTER (rare) AS rare, SUM(weight) AS aw, SUM(weight) FILTER (rare) AS rw
   FROM (SELECT *, terms = 1 OR term NOT IN (SELECT term FROM common) AS rare FROM terms) t JOIN counts c USING (term) GROUP BY 1, 2),
-scored AS (SELECT query_id, h.id, CASE WHEN met = terms THEN 1 ELSE 2 END AS pass, CASE WHEN met = terms THEN aw ELSE rw END / (1 + ln(GREATEST(length(content), 1))) AS x FROM hits h JOIN memories m ON m.id = h.id WHERE met = terms OR rare > 0),
+scored AS (SELECT query_id, h.id, CASE WHEN met = terms THEN 1 ELSE 2 END AS pass, CASE WHEN met = terms THEN aw ELSE rw END / (1 + ln(GREATEST(length(content), 1))) AS x FROM hits h JOIN own m ON m.id = h.id WHERE met = terms OR rare > 0),
 lexical AS (SELECT * FROM (SELECT query_id, id, pass, round(x / (1 + x), 9) AS score, (ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY pass, round(x / (1 + x), 9) DESC, id))::INTEGER AS rank FROM scored) WHERE rank <= 40)"""
 #: The vector of a benchmark query is that of the row with the same number.
 VECTOR = """vector AS (SELECT query_id, id, rank FROM (SELECT a.id AS query_id, b.id, (ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) DESC, b.id))::INTEGER AS rank
@@ -36,9 +44,23 @@ def _queries(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _rows(spark, d):
+    """Documents, every ninth with a section of what it answers, and their chunks, as rows of a search."""
+    i, null = F.col("id"), F.lit(None)
+    own = F.concat(F.lit("Questions this answers: which\n- "), "title", F.lit("\n* "), "project", F.lit("\n"), "content")
+    accessed = F.col("created_at") + F.make_dt_interval(days=F.pmod(i, F.lit(23)).cast("int"))
+    parents = v.memories(spark, d).select(
+        "id", null.cast("long").alias("parent_id"), "type", "title", F.when(F.pmod(i, F.lit(9)) == 0, own).otherwise(F.col("content")).alias("content"), "source_type", "project", "status", "mem_class",
+        F.col("access_count").cast("long").alias("access_count"), F.col("confidence").alias("depth"), F.when(F.pmod(i, F.lit(2)) == 0, F.concat_ws(" ", "source_type", "title")).alias("encoding_context"), "created_at", F.when(F.pmod(i, F.lit(4)) == 0, accessed).alias("last_accessed_at"),
+    )
+    none = {"title": "string", "encoding_context": "string", "created_at": "timestamp_ntz", "last_accessed_at": "timestamp_ntz"}
+    filled = {"type": F.lit("reference"), "mem_class": F.lit("source"), "access_count": F.lit(0).cast("long"), "depth": F.lit(0.0)} | {c: null.cast(t) for c, t in none.items()}
+    return parents.unionByName(v.chunks(spark, d).drop("chunk_index").withColumns(filled))
+
+
 def _lexical(spark, d):
-    m = v.memories(spark, d)
-    return retrieval.lexical_leg(_queries(spark, d), m, m.count())
+    rows = _rows(spark, d)
+    return retrieval.lexical_leg(_queries(spark, d), retrieval.lexical_rows(rows), rows.count())
 
 
 def _vector(spark, d):
@@ -61,20 +83,20 @@ def near_duplicate_test(spark, d):
     return vectors.top_k(asked, rows, 1, exclude_self=True).where("similarity > 0.4").select("query_id", F.col("id").alias("nearest"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(with_views(MEMORIES, LEXICAL) + "SELECT * FROM lexical")
+@query(with_views(MEMORIES, CHUNKS, ROWS, LEXICAL) + "SELECT * FROM lexical")
 def lexical_leg(spark, d):
     return _lexical(spark, d)
 
 
-@query(with_views(MEMORIES, LEXICAL) + "SELECT term, round(frequency, 9) AS frequency FROM common")
+@query(with_views(MEMORIES, CHUNKS, ROWS, LEXICAL) + "SELECT term, round(frequency, 9) AS frequency FROM common")
 def common_terms(spark, d):
-    m = v.memories(spark, d)
-    counts = retrieval.term_counts(m, retrieval.query_terms(_queries(spark, d)))
-    return retrieval.common_terms(counts, m.count()).select("term", F.round("frequency", 9).alias("frequency"))
+    rows = _rows(spark, d)
+    counts = retrieval.term_counts(retrieval.lexical_rows(rows), retrieval.query_terms(_queries(spark, d)))
+    return retrieval.common_terms(counts, rows.count()).select("term", F.round("frequency", 9).alias("frequency"))
 
 
 @query(
-    with_views(MEMORIES, VECTORS, LEXICAL, VECTOR, FUSED)
+    with_views(MEMORIES, CHUNKS, ROWS, VECTORS, LEXICAL, VECTOR, FUSED)
     + """SELECT query_id, id, round(rrf, 9) AS rrf, round(CASE WHEN MAX(rrf) OVER w > MIN(rrf) OVER w THEN (rrf - MIN(rrf) OVER w) / (MAX(rrf) OVER w - MIN(rrf) OVER w) ELSE 1.0 END, 6) AS normalised FROM fused WINDOW w AS (PARTITION BY query_id)"""
 )
 def rrf_hybrid(spark, d):
@@ -82,42 +104,90 @@ def rrf_hybrid(spark, d):
     return fused.select("query_id", "id", F.round("rrf", 9).alias("rrf"), F.round("normalised", 6).alias("normalised"))
 
 
-def _pairs(spark, d):
+def _pool(spark, d):
     """Every benchmark query against the rows its legs found."""
-    pool = retrieval.fuse(_lexical(spark, d), _vector(spark, d), 41)
-    wide = pool.join(v.memories(spark, d).withColumn("parent_id", F.lit(None).cast("long")), "id")
-    return wide.join(_queries(spark, d).withColumnRenamed("text", "query"), "query_id").withColumn("query_project", F.lit("en"))
+    return retrieval.fuse(_lexical(spark, d), _vector(spark, d), 41)
+
+
+def _asked(spark, d):
+    return _queries(spark, d).withColumn("query_project", F.lit("en"))
+
+
+def _reranked(spark, d):
+    return retrieval.rerank(_pool(spark, d), _rows(spark, d), _asked(spark, d), AS_OF)
 
 
 OVERLAP = """(SELECT COUNT(*) FROM unnest({q}) x(t) WHERE list_contains({d}, t) OR (length(t) >= 4 AND len(list_filter({d}, lambda y: starts_with(y, t))) > 0) OR len(list_filter({d}, lambda y: length(y) >= 4 AND starts_with(t, y))) > 0) / len({q})"""
 SIGNALS = f"""pool AS (SELECT query_id, id, CASE WHEN MAX(rrf) OVER w > MIN(rrf) OVER w THEN (rrf - MIN(rrf) OVER w) / (MAX(rrf) OVER w - MIN(rrf) OVER w) ELSE 1.0 END AS normalised FROM fused WINDOW w AS (PARTITION BY query_id)),
-wide AS (SELECT p.query_id, p.id, normalised, m.type, m.mem_class, m.project, m.status, m.confidence, m.access_count, list_distinct({WORDS.format('m.content')}) AS dw, list_distinct({WORDS.format('m.title')}) AS tw, list_distinct({WORDS.format('b.text')}) AS qw,
-  GREATEST(0.0, epoch(TIMESTAMP '{AS_OF}' - m.created_at) / 86400.0)::DOUBLE AS age FROM pool p JOIN memories m USING (id) JOIN benchmark b ON b.item_id = p.query_id),
-signals AS (SELECT *, {OVERLAP.format(q='qw', d='dw')} AS overlap, {OVERLAP.format(q='qw', d='tw')} AS title_overlap, pow(1 + age / (30 + 10 * ln(1 + access_count)), -0.8) AS recency, LEAST(1.0, len(dw) / 80.0) AS len_score, LEAST(1.0, age / 7) AS spacing,
-  CASE WHEN type IN ('decision', 'insight', 'pattern') THEN 0.06 ELSE 0 END + CASE mem_class WHEN 'semantic' THEN 0.04 WHEN 'procedural' THEN 0.02 ELSE 0 END AS boost,
-  CASE WHEN project <> 'en' THEN -0.15 ELSE 0 END + CASE WHEN status = 'superseded' THEN -0.2 ELSE 0 END + CASE WHEN access_count = 0 AND age > 90 THEN -0.05 * LEAST(1.0, (age - 90) / 180) ELSE 0 END AS penalty FROM wide),
-reranked AS (SELECT query_id, id, overlap, title_overlap, recency, round((normalised * 0.45 + overlap * 0.2 + title_overlap * 0.1 + recency * 0.1 + len_score * 0.05 + confidence * 0.05 + spacing * 0.02 + boost + penalty)::DOUBLE, 6) AS score FROM signals),
+wide AS (SELECT p.query_id, p.id, normalised, m.type, m.mem_class, m.project, m.status, m.depth, m.access_count, m.created_at, list_distinct({WORDS.format('m.content')}) AS dw, list_distinct({WORDS.format("coalesce(m.title, '')")}) AS tw,
+  list_distinct({WORDS.format("coalesce(m.encoding_context, '')")}) AS cw, list_distinct({WORDS.format('b.text')}) AS qw, GREATEST(0.0, epoch(TIMESTAMP '{AS_OF}' - m.created_at) / 86400.0)::DOUBLE AS age,
+  CASE WHEN m.last_accessed_at IS NULL THEN 1.0 ELSE LEAST(1.0, GREATEST(0.0, epoch(TIMESTAMP '{AS_OF}' - m.last_accessed_at) / 86400.0) / 7.0) END::DOUBLE AS spacing FROM pool p JOIN rows m USING (id) JOIN benchmark b ON b.item_id = p.query_id),
+signals AS (SELECT *, {OVERLAP.format(q='qw', d='list_concat(dw, tw)')} AS overlap, {OVERLAP.format(q='qw', d='tw')} AS title_overlap, {OVERLAP.format(q='qw', d='cw')} AS context_overlap,
+  CASE WHEN created_at IS NULL THEN 0.35 ELSE pow(1 + age / (30 + 10 * ln(1 + access_count)), -0.8) END AS recency, LEAST(1.0, len(dw) / 80.0) AS len_score, 0.03 * ln(1 + access_count) * spacing AS reinforcement,
+  CASE WHEN type IN ('idea', 'synthesis', 'insight', 'decision') THEN 0.06 ELSE 0 END + CASE mem_class WHEN 'semantic' THEN 0.04 WHEN 'procedural' THEN 0.02 ELSE 0 END AS boost,
+  CASE WHEN project <> 'en' THEN -0.15 ELSE 0 END + CASE WHEN status = 'superseded' THEN -0.2 ELSE 0 END + CASE WHEN created_at IS NOT NULL AND access_count = 0 AND age > 90 THEN -0.05 * LEAST(1.0, (age - 90) / 180) ELSE 0 END AS penalty FROM wide),
+reranked AS (SELECT query_id, id, overlap, title_overlap, recency, round((normalised * 0.30 + overlap * 0.18 + title_overlap * 0.18 + context_overlap * 0.10 + recency * 0.12 + len_score * 0.08 + depth * 0.05 + reinforcement + boost + penalty)::DOUBLE, 6) AS score FROM signals),
 final AS (SELECT query_id, id, score AS rerank_score, round(overlap, 6) AS overlap, round(recency, 6) AS recency, (ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS final_rank FROM reranked)"""
-RANKED = (MEMORIES, VECTORS, LEXICAL, VECTOR, FUSED, SIGNALS)
+RANKED = (MEMORIES, CHUNKS, ROWS, VECTORS, LEXICAL, VECTOR, FUSED, SIGNALS)
 
 
 @query(with_views(*RANKED) + "SELECT query_id, id, rerank_score, overlap, recency, final_rank FROM final")
 def rerank_scores(spark, d):
-    return retrieval.rerank(_pairs(spark, d), AS_OF).select("query_id", "id", "rerank_score", F.round("overlap", 6).alias("overlap"), F.round("recency", 6).alias("recency"), "final_rank")
+    return _reranked(spark, d).select("query_id", "id", "rerank_score", F.round("overlap", 6).alias("overlap"), F.round("recency", 6).alias("recency"), "final_rank")
 
 
 @query()
 def hybrid_parent_cap(spark, d):
     """The ten best fused rows of each query, one a parent and no twin content; tests hold it against a plain loop."""
-    return retrieval.cap_per_parent(_pairs(spark, d).withColumn("score", F.col("normalised")), 10, 1)
+    wide = _pool(spark, d).join(_rows(spark, d).select("id", "parent_id", "project", "content"), "id")
+    return retrieval.cap_per_parent(wide.withColumn("score", F.col("normalised")), 10, 1)
 
 
 @query()
 def memory_search(spark, d):
+    return _search(spark, d)
+
+
+def _search(spark, d, **filters):
     rows = _vectors(spark, d)
     asked = _queries(spark, d).join(rows, F.col("query_id") == F.col("id"), "left").select("query_id", "text", "embedding", F.lit("en").alias("query_project"))
-    m = v.memories(spark, d).withColumn("parent_id", F.lit(None).cast("long"))
-    return retrieval.search(asked, m, rows, m.count(), AS_OF)
+    return retrieval.search(asked, _rows(spark, d), rows, AS_OF, **filters)
+
+
+@query()
+def memory_search_of_project(spark, d):
+    """The same within a project and a status; tests hold it against a plain loop."""
+    return _search(spark, d, project="en", status="active")
+
+
+@query()
+def search_context(spark, d):
+    """What a search shows beside its hits; tests hold it against a plain loop."""
+    return retrieval.around(_search(spark, d), _rows(spark, d), v.edges(spark, d))
+
+
+@query()
+def learned_topics(spark, d):
+    """The three best rows of each topic: the first words of benchmark queries in twos; tests hold it against a plain loop."""
+    words = F.slice(F.array_distinct(retrieval.tokens(F.col("text"))), 1, 6)
+    topics = _queries(spark, d).withColumn("w", words).select("query_id", F.posexplode(F.array(F.slice("w", 1, 2), F.slice("w", 3, 2), F.slice("w", 5, 2))).alias("n", "t")).where(F.size("t") > 0)
+    topics = topics.select("query_id", F.concat_ws(" ", "t").alias("topic")).distinct().join(_vectors(spark, d), F.col("query_id") == F.col("id"), "left").drop("id")
+    return retrieval.learn(topics.withColumn("text", F.col("topic")), _rows(spark, d), _vectors(spark, d), AS_OF)
+
+
+@query(with_views(*RANKED) + "SELECT f.query_id, f.id, m.title, substr(m.content, 1, 500) AS preview, round(rerank_score, 3) AS shown_score FROM final f JOIN rows m USING (id) WHERE final_rank <= 5")
+def shown_results(spark, d):
+    hits = _reranked(spark, d).where("final_rank <= 5").select("query_id", "id", "rerank_score")
+    return retrieval.shown(hits, _rows(spark, d)).select("query_id", "id", "title", "preview", "shown_score")
+
+
+@query(
+    with_views(*RANKED)
+    + """SELECT query_id, id, round((normalised * 0.5 + overlap * 0.18 + title_overlap * 0.18 + context_overlap * 0.10 + recency * 0.12 + len_score * 0.08 + depth * 0.05 + 0.03 * ln(1 + access_count) * 0.5 + boost + penalty - CASE WHEN type IN ('idea', 'synthesis', 'insight', 'decision') THEN 0.06 ELSE 0 END)::DOUBLE, 6) AS score FROM signals"""
+)
+def rerank_overrides(spark, d):
+    again = retrieval.score({"rrf": 0.5}, {"type_boost": 0.0}, 0.5)
+    return retrieval.signals(_pool(spark, d), _rows(spark, d), _asked(spark, d), AS_OF).select("query_id", "id", F.round(again, 6).alias("score"))
 
 
 #: A row is expected for a query if it holds the query's text.
@@ -138,7 +208,7 @@ def _expected(spark, d):
 
 
 def _found(spark, d):
-    return retrieval.rerank(_pairs(spark, d), AS_OF).select("query_id", "id", F.col("final_rank").alias("rank"))
+    return _reranked(spark, d).select("query_id", "id", F.col("final_rank").alias("rank"))
 
 
 FINAL = PLACED.format(r="final_rank", t="SELECT query_id, id, final_rank FROM final")
@@ -197,7 +267,7 @@ def consolidation(spark, d):
 
 
 @query(
-    with_views(MEMORIES, VECTORS, LEXICAL, VECTOR)
+    with_views(MEMORIES, CHUNKS, ROWS, VECTORS, LEXICAL, VECTOR)
     + """SELECT a.query_id, round(COUNT(b.id) / COUNT(*), 6) AS recall FROM (SELECT * FROM vector WHERE rank <= 10) a LEFT JOIN (SELECT * FROM lexical WHERE rank <= 10) b USING (query_id, id) GROUP BY a.query_id"""
 )
 def leg_overlap(spark, d):
@@ -213,7 +283,7 @@ def recall_at_k(spark, d):
 
 
 @query(
-    with_views(MEMORIES, VECTORS, LEXICAL, VECTOR, FUSED)
+    with_views(MEMORIES, CHUNKS, ROWS, VECTORS, LEXICAL, VECTOR, FUSED)
     + """, a AS (SELECT query_id, id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS ra, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY id) AS rb FROM fused),
 p AS (SELECT x.query_id, SUM(sign((x.ra - y.ra) * (x.rb - y.rb))) AS s FROM a x JOIN a y ON x.query_id = y.query_id GROUP BY 1), n AS (SELECT query_id, COUNT(*) AS n FROM a GROUP BY 1)
 SELECT query_id, CASE WHEN n < 2 THEN 1.0 ELSE round(s / (n * (n - 1)), 6) END::DOUBLE AS tau FROM p JOIN n USING (query_id)"""

@@ -19,7 +19,7 @@ def test_strict_urls(spark):
     assert column(spark, urls.strict_url, [*good, *bad]) == [*good.values(), *[None] * len(bad)]
 
 
-@pytest.mark.parametrize(("host", "inside"), [("localhost", True), ("a.local", True), ("10.1.2.3", True), ("3232235777", True), ("0x7f000001", True), ("127.1", True), ("0177.0.0.1", True), ("100.64.0.9", True), ("8.8.8.8", False), ("10.example.com", False), ("localhost.com", False), ("[::1]", True), ("256.256.256.256", False), ("", False), (None, False)])
+@pytest.mark.parametrize(("host", "inside"), [("localhost", True), ("a.local", True), ("10.1.2.3", True), ("3232235777", True), ("0x7f000001", True), ("127.1", True), ("0177.0.0.1", True), ("100.64.0.9", True), ("8.8.8.8", False), ("10.example.com", False), ("localhost.com", False), ("[::1]", True), ("256.256.256.256", False), ("", False), (None, False), ("local", False), ("lan", True), ("x.home.arpa", True), ("[::ffff:10.0.0.1]", True), ("[fe80::1]", True), ("[2606:4700::1111]", False), ("[2001:db8::5]", True), ("169.254.7.7", True), ("172.32.0.1", False), ("0x8080808", False), ("09.1.1.1", False)])
 def test_private_hosts(host, inside):
     assert urls.private(host) is inside
 

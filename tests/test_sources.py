@@ -2,6 +2,8 @@ import json
 import sqlite3
 import zipfile
 
+import pytest
+
 from lorewell.sources import files, snapshots, transcripts
 
 
@@ -110,5 +112,7 @@ def test_snapshots(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     assert snapshots.latest(spark, path) is None
     assert [snapshots.write(spark.range(n), path) for n in (1, 2, 3)] == [1, 2, 3]
-    (tmp_path / "t" / "v00000004").mkdir()
+    (tmp_path / "t" / "rows-left-behind").mkdir()
+    with pytest.raises(FileExistsError):
+        snapshots.commit(spark, path, 3, "rows-left-behind")
     assert snapshots.latest(spark, path).count() == 3 and snapshots.prune(spark, path, 2) == [1] and snapshots.versions(spark, path) == [2, 3]
