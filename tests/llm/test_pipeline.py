@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lorewell.llm import mixing, quality, simhash, toxicity
+from lorewell.llm import mixing, quality, resemblance, toxicity
 from lorewell.llm.shared import cut
 
 
@@ -23,7 +23,9 @@ def test_stages(spark):
         elif name == "toxicity":
             assert ids(docs) == ids(toxicity.score_documents(before, labels).where("predicted = 0"))
         elif name == "near_duplicates":
-            assert ids(docs) == ids(simhash.near_duplicates(before).where("doc_id = component_id"))
+            assert ids(docs) == ids(resemblance.one_of_each(before))
+            # what op3 links at its own distance is one group here too, where five-word shingles agree as well
+            assert set(ids(docs)) <= set(ids(before)) and docs.count() < before.count()
         elif name == "mixing":
             words = lambda df: df.agg(F.sum(mixing.words(F.col("text")))).first()[0]
             assert words(docs) == mixing.mix_documents(before).agg(F.sum("taken")).first()[0]
