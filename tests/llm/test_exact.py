@@ -57,6 +57,37 @@ def test_sharding(documents, no_documents):
     assert sharding.shard_documents(no_documents).count() == 0
 
 
+def plain_place(x, n, seed=7, rounds=6):
+    """The same permutation, number by number with plain integers."""
+    half = 1
+    while 4**half < n:
+        half += 1
+    keys, full = np.random.default_rng(seed).integers(0, 2**63, rounds, dtype=np.uint64).tolist(), 2**64 - 1
+    while True:
+        left, right = x >> half, x & (2**half - 1)
+        for key in keys:
+            m = (right ^ key) * 0x9E3779B97F4A7C15 & full
+            m = (m ^ (m >> 29)) * 0xBF58476D1CE4E5B9 & full
+            left, right = right, left ^ ((m ^ (m >> 32)) & (2**half - 1))
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_shards_and_slots_follow_from_the_ids(documents, small):
+    for docs in (documents, small("documents")):
+        own = []
+        for r in docs.collect():
+            data = (r.text or "").encode()
+            crc, size = zlib.crc32(data), len(data) + 1
+            key = "\x1f".join(["\x00" if r.doc_id is None else str(r.doc_id), str(crc), str(size)])
+            h = xxhash.xxh64_intdigest(key.encode(), 42)
+            own.append(((h - (h >> 63 << 64)) % 1024, r.doc_id is not None, r.doc_id or 0, crc, size))
+        want = sorted((x[2] if x[1] else -1, x[4], x[3], plain_place(n, len(own)) % 16, plain_place(n, len(own)) // 16) for n, x in enumerate(sorted(own)))
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(docs).collect())
+        assert got == want
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().translate(LOWER).split()
     if not words:
