@@ -88,7 +88,7 @@ def test_stems(spark):
 
 def test_overlap(spark):
     df = spark.createDataFrame([(["conn", "a", "connections", "zzz"], ["connect", "b", "conne"])], "q array<string>, d array<string>")
-    assert df.select(retrieval.overlap(F.col("q"), F.col("d"), retrieval.with_beginnings(F.col("d")))).first()[0] == 0.5
+    assert df.select(retrieval.overlap(F.col("q"), F.col("d"))).first()[0] == 0.5
 
 
 @given(st.dictionaries(st.integers(0, 30), st.integers(1, 40), max_size=8), st.dictionaries(st.integers(0, 30), st.integers(1, 40), max_size=8))
