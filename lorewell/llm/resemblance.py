@@ -119,24 +119,20 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 
 def links(fps: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that connect exactly what all pairs of a left and a right set at SIMILARITY connect, by whole sets."""
-    parent = np.arange(len(ids))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    sizes, same = np.array([len(s) for s in sets]), (left == right).all()
+    """Links that connect exactly what all pairs of a left and a right set at SIMILARITY connect, by whole sets; pairs that
+    are connected already aren't compared."""
+    label, sizes, same = np.arange(len(ids)), np.array([len(s) for s in sets]), (left == right).all()
     right = np.flatnonzero(right)
     for x in np.flatnonzero(left).tolist():
-        close = right[np.bitwise_count(fps[right] ^ fps[x]) <= RADIUS]
-        close = close[close > x] if same else close
-        close = close[np.minimum(sizes[close], sizes[x]) >= SIMILARITY * np.maximum(sizes[close], sizes[x])]
-        for y in close.tolist():
-            if (r := root(x)) != (s := root(y)) and similarity(sets[x], sets[y]) >= SIMILARITY:
-                parent[max(r, s)] = min(r, s)
+        apart = right[label[right] != label[x]]
+        apart = apart[apart > x] if same else apart
+        apart = apart[np.bitwise_count(fps[apart] ^ fps[x]) <= RADIUS]
+        apart = apart[np.minimum(sizes[apart], sizes[x]) >= SIMILARITY * np.maximum(sizes[apart], sizes[x])]
+        while len(apart):
+            y, apart = int(apart[0]), apart[1:]
+            if similarity(sets[x], sets[y]) >= SIMILARITY:
+                label[label == label[y]] = label[x]
+                apart = apart[label[apart] != label[x]]
                 yield int(ids[x]), int(ids[y])
 
 
