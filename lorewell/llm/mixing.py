@@ -72,7 +72,8 @@ def shares(sized: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weigh
     here = sized.join(edges, of_source & (part == F.col("_edge_part"))).groupBy("_source", "_place").agg(F.sum("_size").alias("_words"), F.first("_room").alias("_room"))
     at = here.withColumn("_before", before(Window.partitionBy("_source"), "_place")).where(on_edge)
     at = at.select(F.col("_source").alias("_edge_source"), F.col("_place").alias("_edge"), (F.col("_room") - F.col("_before")).alias("_left"), "_words")
-    return filled.drop("_room").join(at, F.col("_source").eqNullSafe(F.col("_edge_source")), "left").drop("_edge_source")
+    # written, so that Spark knows its size when it joins it with the documents
+    return cut(filled.drop("_room").join(at, F.col("_source").eqNullSafe(F.col("_edge_source")), "left").drop("_edge_source"), "shares")
 
 
 def _taken(size: Column) -> Column:
