@@ -132,7 +132,9 @@ def run_metrics(slices: DataFrame) -> DataFrame:
     slices' shares weighted by what each resolved to."""
     mix = slices.select("run_id", F.explode("source_mix").alias("source_type", "n")).groupBy("run_id", "source_type").agg(F.sum("n").alias("n"))
     merged = mix.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "n")))).alias("source_mix"), F.count("*").alias("source_types"), F.max("n").alias("_top"))
-    weighted = lambda c: F.coalesce(F.round(F.sum(F.col(c) * F.col("resolved")) / F.sum("resolved"), 3), F.lit(0.0)).alias(c)
+    # in whole thousandths, so that the order of summing can't tip a half
+    summed = lambda c: F.sum(F.round(F.col(c) * 1000).cast("long") * F.col("resolved"))
+    weighted = lambda c: F.coalesce(F.floor((2 * summed(c) + F.sum("resolved")) / F.nullif(2 * F.sum("resolved"), F.lit(0))) / 1000, F.lit(0.0)).alias(c)
     total = slices.groupBy("run_id").agg(F.count("*").alias("slices"), F.sum("resolved").alias("memories"), F.count_if("anchored").alias("anchored"), weighted("arrival_share"), weighted("episodic_share"), weighted("revisit_share"))
     return total.join(merged, "run_id", "left").withColumn("concentration", F.coalesce(F.round(F.col("_top") / F.col("memories"), 3), F.lit(0.0))).drop("_top")
 

@@ -221,7 +221,7 @@ def slice_metrics(spark, d):
 @query(
     with_views(MEMORIES, CANDIDATES, SLICES, MEASURED)
     + """, x AS (SELECT run_id, source_type, SUM(n) AS n FROM px GROUP BY 1, 2), m AS (SELECT run_id, string_agg(source_type || ':' || n, ',' ORDER BY source_type) AS source_mix, COUNT(*) AS source_types, MAX(n) AS top FROM x GROUP BY 1),
-t AS (SELECT run_id, COUNT(*) AS slices, SUM(resolved)::BIGINT AS memories, COUNT(*) FILTER (anchored) AS anchored, COALESCE(round(SUM(arrival_share * resolved) / SUM(resolved), 3), 0) AS arrival_share, COALESCE(round(SUM(episodic_share * resolved) / SUM(resolved), 3), 0) AS episodic_share, COALESCE(round(SUM(revisit_share * resolved) / SUM(resolved), 3), 0) AS revisit_share FROM measured GROUP BY 1)
+t AS (SELECT run_id, COUNT(*) AS slices, SUM(resolved)::BIGINT AS memories, COUNT(*) FILTER (anchored) AS anchored, COALESCE(((2 * SUM(round(arrival_share * 1000)::BIGINT * resolved)::BIGINT + SUM(resolved)::BIGINT) // NULLIF(2 * SUM(resolved)::BIGINT, 0)) / 1000.0::DOUBLE, 0) AS arrival_share, COALESCE(((2 * SUM(round(episodic_share * 1000)::BIGINT * resolved)::BIGINT + SUM(resolved)::BIGINT) // NULLIF(2 * SUM(resolved)::BIGINT, 0)) / 1000.0::DOUBLE, 0) AS episodic_share, COALESCE(((2 * SUM(round(revisit_share * 1000)::BIGINT * resolved)::BIGINT + SUM(resolved)::BIGINT) // NULLIF(2 * SUM(resolved)::BIGINT, 0)) / 1000.0::DOUBLE, 0) AS revisit_share FROM measured GROUP BY 1)
 SELECT t.*, source_mix, source_types, COALESCE(round(top / memories, 3), 0)::DOUBLE AS concentration FROM t LEFT JOIN m USING (run_id)"""
 )
 def run_metrics(spark, d):
