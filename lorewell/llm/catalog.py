@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_model, licenses, mixing, pieces, quality, sharding, simhash, topk, toxicity
+from . import embedding_dedup, language_model, licenses, mixing, pieces, prefix_trie, quality, sharding, simhash, topk, toxicity, url_filters, whitening
 from .shared import read
 
 #: A public model file of the machine's; a parameter of the operator, never part of this repository.
@@ -49,6 +49,18 @@ def op10_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(read(spark, sf_dir, "documents"), MODEL)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filters(spark, sf_dir):
+    return url_filters.judge(read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -67,9 +79,18 @@ def queries():
         op8_pu_quality,
         op9_lexicon_toxicity,
         op10_sentencepiece,
+        op11_prefix_trie,
+        op12_embedding_whitening,
+        op13_url_filters,
     )
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql():
-    return {"op2_multi_index_near_dedup": embedding_dedup.ORACLE, "op7_norm_bucket_top_k": topk.ORACLE, "op6_source_mixing": mixing.ORACLE}
+    return {
+        "op2_multi_index_near_dedup": embedding_dedup.ORACLE,
+        "op6_source_mixing": mixing.ORACLE,
+        "op7_norm_bucket_top_k": topk.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
+        "op13_url_filters": url_filters.ORACLE,
+    }
