@@ -5,13 +5,19 @@ Queries are rows (query_id, text), so one plan answers a whole set of them.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import lexemes
+from ..sources.shared import cut
 from .corpus import not_history, parents_without_chunks, where
 
+if TYPE_CHECKING:
+    from .term_index import TermIndex
+
 #: What parts words: everything but letters, marks, digits and the underscore.
 NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 COMMON, K, PREFETCH = 0.05, 60, 40
@@ -43,15 +49,15 @@ def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     return queries.select("query_id", F.array_distinct(terms_in(F.col("text"), stem)).alias("ts")).select("query_id", F.size("ts").alias("terms"), F.explode("ts").alias("term"))
 
 
-def asked_in(content: Column) -> tuple[Column, Column]:
-    """(the questions that a text says it answers, the rest of it): the items below the heading, and what is on its line,
-    which stays in the rest too."""
+def asked_in(content: Column) -> tuple[Column, Column, Column]:
+    """(what is on the line of the heading of questions that a text answers, the text without the items below it, these): the
+    line stays in the text."""
     match = F.regexp_extract(content, ASKED, 0)
     items = F.regexp_extract(content, ASKED, 2)
     start = F.position(match, content) + F.length(match) - F.length(items)
     rest = F.concat(F.substr(content, F.lit(1), start - 1), F.substr(content, start + F.length(items)))
     some = F.length(match) > 0
-    return F.when(some, F.concat_ws(" ", F.regexp_extract(content, ASKED, 1), items)).otherwise(""), F.when(some, rest).otherwise(content)
+    return F.regexp_extract(content, ASKED, 1), F.when(some, rest).otherwise(content), items
 
 
 def term_counts(rows: DataFrame, terms: DataFrame, stem: bool = False) -> DataFrame:
@@ -60,10 +66,10 @@ def term_counts(rows: DataFrame, terms: DataFrame, stem: bool = False) -> DataFr
 
     Texts meet the terms before they are counted, and counts are partly summed before they are shuffled.
     """
-    questions, rest = asked_in(F.coalesce("content", F.lit("")))
+    line, rest, items = asked_in(F.coalesce("content", F.lit("")))
     each = lambda text, w: rows.select("id", F.explode(terms_in(text, stem)).alias("term"), F.lit(w).alias("w"))
     wanted = terms.select("term").distinct()
-    both = each(F.concat_ws(" ", "title", questions), TITLE).unionByName(each(rest, BODY))
+    both = each(F.concat_ws(" ", "title", line, items), TITLE).unionByName(each(rest, BODY))
     return both.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.sum("w").alias("weight"))
 
 
@@ -93,16 +99,30 @@ def lexical_leg(queries: DataFrame, rows: DataFrame, total: int, prefetch: int =
     has one pass. With `stem`, words are stemmed and stop words left out.
     """
     terms = query_terms(queries, stem)
-    counts = term_counts(rows, terms, stem)
-    common = common_terms(counts, total).select("term", F.lit(True).alias("common"))
-    asked = terms.join(common, "term", "left").withColumn("rare", F.col("common").isNull() | (F.col("terms") == 1)).drop("common")
-    hits = asked.join(counts, "term").groupBy("query_id", "id").agg(
-        F.first("terms").alias("terms"), F.count("*").alias("met"), F.count_if("rare").alias("rare"), F.sum("weight").alias("all_weight"), F.sum(F.when(F.col("rare"), F.col("weight"))).alias("rare_weight")
-    )
     size = rows.select("id", (1 + F.log(F.greatest(F.length("content"), F.lit(1)))).alias("size"))
-    every = F.col("met") == F.col("terms")
-    raw = F.when(every, F.col("all_weight")).otherwise(F.col("rare_weight")) / F.col("size")
-    scored = hits.where(every | (F.col("rare") > 0)).join(size, "id").select("query_id", "id", F.when(every, 1).otherwise(2).alias("pass"), F.round(raw / (1 + raw), 9).alias("score"))
+    return rank_of(terms, term_counts(rows, terms, stem), size, total, prefetch)
+
+
+def rank_of(terms: DataFrame, counts: DataFrame, size: DataFrame, total: int, prefetch: int) -> DataFrame:
+    """query_id, id, pass, score, rank from the queries' terms (query_id, term, terms), the rows' (id, term, weight) and what
+    a row's weights are divided by (id, size).
+
+    Terms that lead are those that aren't common, or of a query that has only such the least frequent one: any row that
+    either pass finds holds one. Common terms, which very many rows hold, are met by rows that hold all that lead only.
+    """
+    common = common_terms(counts, total)
+    rarest = Window.partitionBy("query_id").orderBy(F.col("frequency").asc_nulls_first(), "term")
+    rare = F.col("frequency").isNull() | (F.col("terms") == 1)
+    asked = terms.join(common, "term", "left").withColumns({"rare": rare, "lead": rare | (F.row_number().over(rarest) == 1)}).drop("frequency")
+    leads = asked.groupBy("query_id").agg(F.count_if("lead").alias("leads"))
+    first = asked.where("lead").join(counts, "term").groupBy("query_id", "id")
+    first = first.agg(F.first("terms").alias("terms"), F.count("*").alias("met"), F.bool_or("rare").alias("rare"), F.sum("weight").alias("weight")).join(leads, "query_id")
+    whole = first.where("met = leads AND terms > leads").select("query_id", "id").join(asked.where("NOT lead").select("query_id", "term"), "query_id")
+    more = whole.join(counts, ["id", "term"]).groupBy("query_id", "id").agg(F.count("*").alias("more"), F.sum("weight").alias("more_weight"))
+    hits = first.join(more, ["query_id", "id"], "left").fillna(0, ["more", "more_weight"])
+    every = F.col("met") + F.col("more") == F.col("terms")
+    raw = F.when(every, F.col("weight") + F.col("more_weight")).otherwise(F.col("weight")) / F.col("size")
+    scored = hits.where(every | F.col("rare")).join(size, "id").select("query_id", "id", F.when(every, 1).otherwise(2).alias("pass"), F.round(raw / (1 + raw), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy("pass", F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= prefetch)
 
@@ -175,17 +195,22 @@ def overlaps(pool: DataFrame, rows: DataFrame, queries: DataFrame) -> DataFrame:
     return own.select("id", F.col("_length").alias("length"), F.explode(F.transform("_asked", told)).alias("_of")).select("_of.*", "id", "length")
 
 
-def signals(pool: DataFrame, rows: DataFrame, queries: DataFrame, as_of: str) -> DataFrame:
+def signals(pool: DataFrame, rows: DataFrame, queries: DataFrame, as_of: str, index: TermIndex | None = None) -> DataFrame:
     """The pool (query_id, id, normalised, ...) with the thirteen reranking signals of its rows.
 
     rows: (id, type, title, content, project, status, mem_class, access_count, depth, encoding_context, created_at,
     last_accessed_at); queries: (query_id, text, query_project). A row that was never accessed has the whole spacing
-    bonus; one without a date the recency of an old one and no staleness.
+    bonus; one without a date the recency of an old one and no staleness. With an index no text is read: the overlaps are
+    those of its entries, and the rows' other columns are taken from it.
     """
+    if index is not None:
+        rows, told = index.docs, index.overlaps(pool, queries)
+    else:
+        told = overlaps(pool, rows, queries)
     now, used = F.lit(as_of).cast("timestamp_ntz"), F.coalesce("access_count", F.lit(0))
     age, since = days(now, F.col("created_at")), days(now, F.col("last_accessed_at"))
     light = rows.select("id", "type", "project", "status", "mem_class", "access_count", "depth", "created_at", "last_accessed_at")
-    wide = pool.join(overlaps(pool, rows, queries), ["query_id", "id"]).join(light, "id").join(queries.select("query_id", "query_project"), "query_id")
+    wide = pool.join(told, ["query_id", "id"]).join(light, "id").join(queries.select("query_id", "query_project"), "query_id")
     spacing = F.when(F.col("last_accessed_at").isNull(), 1.0).otherwise(F.least(F.lit(1.0), since / 7))
     classes = F.create_map(*[F.lit(x) for kv in CLASS_BOOST.items() for x in kv])
     other = F.col("query_project").isNotNull() & (F.col("query_project") != "") & F.col("project").isNotNull() & (F.col("project") != "") & (F.col("project") != F.col("query_project"))
@@ -222,40 +247,44 @@ def score(weights: dict[str, Column | float] | None = None, multipliers: dict[st
     return total + sum((x * m.get(k, 1.0) for k, x in added.items()), F.lit(0.0))
 
 
-def rerank(pool: DataFrame, rows: DataFrame, queries: DataFrame, as_of: str, weights: dict[str, Column | float] | None = None) -> DataFrame:
+def rerank(pool: DataFrame, rows: DataFrame, queries: DataFrame, as_of: str, weights: dict[str, Column | float] | None = None, index: TermIndex | None = None) -> DataFrame:
     """The pool with signals, rerank_score and final_rank, ties to the smaller id."""
     best = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "id")
-    return signals(pool, rows, queries, as_of).withColumn("rerank_score", F.round(score(weights), 6)).withColumn("final_rank", F.row_number().over(best))
+    return signals(pool, rows, queries, as_of, index).withColumn("rerank_score", F.round(score(weights), 6)).withColumn("final_rank", F.row_number().over(best))
 
 
-def legs(queries: DataFrame, rows: DataFrame, vectors: DataFrame | None, prefetch: int, **filters) -> tuple[DataFrame, DataFrame]:
+def legs(queries: DataFrame, rows: DataFrame, vectors: DataFrame | None, prefetch: int, index: TermIndex | None = None, **filters) -> tuple[DataFrame, DataFrame]:
     """(lexical, vector): both legs over the rows that the filters leave; rows without a vector are found by words only."""
     from .vectors import top_k
 
-    own = lexical_rows(rows, **filters)
-    lexical = lexical_leg(queries.select("query_id", "text"), own, rows.count(), prefetch)
+    if index is not None:
+        rows, lexical = index.docs, index.lexical_leg(queries.select("query_id", "text"), prefetch, **filters)
+    else:
+        lexical = lexical_leg(queries.select("query_id", "text"), lexical_rows(rows, **filters), rows.count(), prefetch)
     if vectors is None:
         return lexical, lexical.limit(0)
     return lexical, top_k(queries.select("query_id", "embedding"), vectors.join(eligible(rows, **filters).select("id"), "id", "left_semi"), prefetch)
 
 
-def hybrid(queries: DataFrame, rows: DataFrame, vectors: DataFrame | None, limit: int = 10, cap: int = 2, **filters) -> DataFrame:
+def hybrid(queries: DataFrame, rows: DataFrame, vectors: DataFrame | None, limit: int = 10, cap: int = 2, index: TermIndex | None = None, **filters) -> DataFrame:
     """query_id, id, normalised, kept_rank, other_chunks: fused and capped results of each query.
 
     Each leg fetches WIDEN x limit rows. A query that caps and twins leave with fewer than `limit` results, though a leg
     was full, is asked again with twice as many, as long as there are such queries and at most up to CEILING x
-    limit (512 at least, 4,096 at most); the ranks, and so the scores, are those of its last round.
+    limit (512 at least, 4,096 at most); the ranks, and so the scores, are those of its last round. What a round finds
+    is written to the shared folder, numbers only.
     """
     prefetch, ceiling = max(limit * WIDEN, 4), min(max(limit * CEILING, 512), 4096)
     left, found = queries, None
+    of = index.docs.withColumn("content", F.col("twin")) if index is not None else rows
     while True:
-        lexical, vector = (x.persist() for x in legs(left, rows, vectors, prefetch, **filters))
+        lexical, vector = (cut(x, "leg") for x in legs(left, rows, vectors, prefetch, index, **filters))
         pool = fuse(lexical, vector, prefetch + 1)
-        kept = cap_per_parent(pool.join(rows.select("id", "parent_id", "project", "content"), "id").withColumn("score", F.col("normalised")), limit, cap)
-        kept = kept.withColumnRenamed("score", "normalised").persist()
+        kept = cap_per_parent(pool.join(of.select("id", "parent_id", "project", "content"), "id").withColumn("score", F.col("normalised")), limit, cap)
+        kept = cut(kept.withColumnRenamed("score", "normalised"), "kept")
         full = lexical.groupBy("query_id").count().unionByName(vector.groupBy("query_id").count()).where(F.col("count") >= prefetch).select("query_id").distinct()
         short = full.join(kept.groupBy("query_id").count().where(F.col("count") >= limit), "query_id", "left_anti")
-        again = left.join(short, "query_id", "left_semi").persist() if prefetch < ceiling else None
+        again = cut(left.join(short, "query_id", "left_semi"), "again") if prefetch < ceiling else None
         done = again is None or again.isEmpty()
         own = kept if done else kept.join(again.select("query_id"), "query_id", "left_anti")
         found = own if found is None else found.unionByName(own)
@@ -264,14 +293,15 @@ def hybrid(queries: DataFrame, rows: DataFrame, vectors: DataFrame | None, limit
         left, prefetch = again, min(prefetch * 2, ceiling)
 
 
-def search(queries: DataFrame, rows: DataFrame, vectors: DataFrame | None, as_of: str, limit: int = 10, cap: int = 1, **filters) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, vectors: DataFrame | None, as_of: str, limit: int = 10, cap: int = 1, index: TermIndex | None = None, **filters) -> DataFrame:
     """query_id, id, final_rank, rerank_score, other_chunks: both legs, fusion, caps and reranking.
 
     queries: (query_id, text, embedding, query_project); rows: (id, parent_id, title, content, ...) of any number;
-    vectors: (id, embedding). Ids and numbers are ranked first; texts are read again for the rows that were kept.
+    vectors: (id, embedding). Ids and numbers are ranked first; texts are read again for the rows that were kept. With an
+    index of the rows no text is read.
     """
-    kept = hybrid(queries, rows, vectors, limit, cap, **filters)
-    return rerank(kept, rows, queries, as_of).select("query_id", "id", "final_rank", "rerank_score", "other_chunks")
+    kept = hybrid(queries, rows, vectors, limit, cap, index, **filters)
+    return rerank(kept, rows, queries, as_of, index=index).select("query_id", "id", "final_rank", "rerank_score", "other_chunks")
 
 
 def around(hits: DataFrame, rows: DataFrame, edges: DataFrame, top: int = 5, near: int = 3) -> DataFrame:
@@ -301,7 +331,7 @@ def shown(hits: DataFrame, rows: DataFrame) -> DataFrame:
     return hits.join(rows.select("id", "title", F.substring("content", 1, 500).alias("preview")), "id").withColumn("shown_score", F.round("rerank_score", 3))
 
 
-def learn(topics: DataFrame, rows: DataFrame, vectors: DataFrame | None, as_of: str, each: int = 5, kept: int = 3) -> DataFrame:
+def learn(topics: DataFrame, rows: DataFrame, vectors: DataFrame | None, as_of: str, each: int = 5, kept: int = 3, index: TermIndex | None = None) -> DataFrame:
     """query_id, topic, id, rank: for each topic of a request the `kept` best of `each` results of a search of its own,
     reranked against the topic alone.
 
@@ -309,7 +339,7 @@ def learn(topics: DataFrame, rows: DataFrame, vectors: DataFrame | None, as_of:
     """
     keyed = topics.withColumn("_key", F.xxhash64("query_id", "topic"))
     asked = keyed.select(F.col("_key").alias("query_id"), "text", "embedding")
-    found = hybrid(asked, rows, vectors, each, 1)
+    found = hybrid(asked, rows, vectors, each, 1, index)
     alone = keyed.select(F.col("_key").alias("query_id"), F.col("topic").alias("text"), F.lit(None).cast("string").alias("query_project"))
-    best = rerank(found, rows, alone, as_of).where(F.col("final_rank") <= kept).select(F.col("query_id").alias("_key"), "id", F.col("final_rank").alias("rank"))
+    best = rerank(found, rows, alone, as_of, index=index).where(F.col("final_rank") <= kept).select(F.col("query_id").alias("_key"), "id", F.col("final_rank").alias("rank"))
     return best.join(keyed.select("_key", "query_id", "topic"), "_key").select("query_id", "topic", "id", "rank")

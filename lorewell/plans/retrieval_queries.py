@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, retrieval, vectors
+from ..operators import evaluation, retrieval, term_index, vectors
+from ..sources.shared import cut, fingerprint, shared_dir
 from . import views as v
 from .registry import query
 from .views import AS_OF, CHUNKS, EDGES, MEMORIES, read, with_views
@@ -58,9 +61,14 @@ def _rows(spark, d):
     return parents.unionByName(v.chunks(spark, d).drop("chunk_index").withColumns(filled))
 
 
+def _index(spark, d):
+    """The rows' kept table of terms, made by the first query that needs it; other files of the tables have another."""
+    made_of = fingerprint(read(spark, d, "documents"), read(spark, d, "labels"))
+    return term_index.kept(f"{shared_dir(spark)}/terms-{made_of}", _rows(spark, d))
+
+
 def _lexical(spark, d):
-    rows = _rows(spark, d)
-    return retrieval.lexical_leg(_queries(spark, d), retrieval.lexical_rows(rows), rows.count())
+    return _index(spark, d).lexical_leg(_queries(spark, d), retrieval.PREFETCH)
 
 
 def _vector(spark, d):
@@ -90,9 +98,9 @@ def lexical_leg(spark, d):
 
 @query(with_views(MEMORIES, CHUNKS, ROWS, LEXICAL) + "SELECT term, round(frequency, 9) AS frequency FROM common")
 def common_terms(spark, d):
-    rows = _rows(spark, d)
-    counts = retrieval.term_counts(retrieval.lexical_rows(rows), retrieval.query_terms(_queries(spark, d)))
-    return retrieval.common_terms(counts, rows.count()).select("term", F.round("frequency", 9).alias("frequency"))
+    index = _index(spark, d)
+    counts = index.weights(retrieval.query_terms(_queries(spark, d)), retrieval.lexical_rows(index.docs))
+    return retrieval.common_terms(counts, index.docs.count()).select("term", F.round("frequency", 9).alias("frequency"))
 
 
 @query(
@@ -106,7 +114,7 @@ def rrf_hybrid(spark, d):
 
 def _pool(spark, d):
     """Every benchmark query against the rows its legs found."""
-    return retrieval.fuse(_lexical(spark, d), _vector(spark, d), 41)
+    return cut(retrieval.fuse(_lexical(spark, d), _vector(spark, d), 41), "pool")
 
 
 def _asked(spark, d):
@@ -114,7 +122,7 @@ def _asked(spark, d):
 
 
 def _reranked(spark, d):
-    return retrieval.rerank(_pool(spark, d), _rows(spark, d), _asked(spark, d), AS_OF)
+    return retrieval.rerank(_pool(spark, d), _rows(spark, d), _asked(spark, d), AS_OF, index=_index(spark, d))
 
 
 OVERLAP = """(SELECT COUNT(*) FROM unnest({q}) x(t) WHERE list_contains({d}, t) OR (length(t) >= 4 AND len(list_filter({d}, lambda y: starts_with(y, t))) > 0) OR len(list_filter({d}, lambda y: length(y) >= 4 AND starts_with(t, y))) > 0) / len({q})"""
@@ -136,6 +144,27 @@ def rerank_scores(spark, d):
     return _reranked(spark, d).select("query_id", "id", "rerank_score", F.round("overlap", 6).alias("overlap"), F.round("recency", 6).alias("recency"), "final_rank")
 
 
+#: The rows after three updates: some texts changed, some rows gone, some new.
+UPDATED = f"""updated AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'Changed twice. ' || content WHEN id % 7 = 0 THEN content || ' and once more' ELSE content END AS content, parent_id, status FROM rows WHERE id % 11 <> 3),
+uterms AS (SELECT unnest({WORDS.format("content")}) AS term, id FROM updated UNION ALL SELECT unnest({WORDS.format(f"regexp_extract(content, '{PART}', 1)")}), id FROM updated)"""
+
+
+@query(with_views(MEMORIES, CHUNKS, ROWS, UPDATED) + "SELECT term, COUNT(DISTINCT id) AS n_rows, COUNT(*) AS places FROM uterms GROUP BY term HAVING COUNT(DISTINCT id) > 20")
+def index_after_updates(spark, d):
+    """Rows and places of the frequent terms of texts, from an index that was made of half the rows and updated three times;
+    what stands on the line of a heading of questions has a place there and one in the text."""
+    rows, i = _rows(spark, d), F.col("id")
+    path = f"{shared_dir(spark)}/updated-terms-{uuid.uuid4().hex}"
+    plain = rows.withColumn("title", F.lit(None).cast("string")).withColumn("encoding_context", F.lit(None).cast("string"))
+    once = plain.withColumn("content", F.when(i % 5 == 0, F.concat(F.lit("Changed. "), "content")).otherwise(F.col("content")))
+    last = plain.withColumn("content", F.when(i % 5 == 0, F.concat(F.lit("Changed twice. "), "content")).when(i % 7 == 0, F.concat("content", F.lit(" and once more"))).otherwise(F.col("content")))
+    for state in (plain.where(i % 2 == 0), once, once.where(i % 11 != 3), last.where(i % 11 != 3)):
+        index = term_index.update(path, state)
+    live = index.postings.join(index.docs.select("id", "segment"), ["id", "segment"], "left_semi")
+    places = F.sum(F.col("head") + F.col("body")).alias("places")
+    return live.where("in_content").groupBy("term").agg(F.count("*").alias("n_rows"), places).where("n_rows > 20")
+
+
 @query()
 def hybrid_parent_cap(spark, d):
     """The ten best fused rows of each query, one a parent and no twin content; tests hold it against a plain loop."""
@@ -151,7 +180,7 @@ def memory_search(spark, d):
 def _search(spark, d, **filters):
     rows = _vectors(spark, d)
     asked = _queries(spark, d).join(rows, F.col("query_id") == F.col("id"), "left").select("query_id", "text", "embedding", F.lit("en").alias("query_project"))
-    return retrieval.search(asked, _rows(spark, d), rows, AS_OF, **filters)
+    return retrieval.search(asked, _rows(spark, d), rows, AS_OF, index=_index(spark, d), **filters)
 
 
 @query()
@@ -172,7 +201,7 @@ def learned_topics(spark, d):
     words = F.slice(F.array_distinct(retrieval.tokens(F.col("text"))), 1, 6)
     topics = _queries(spark, d).withColumn("w", words).select("query_id", F.posexplode(F.array(F.slice("w", 1, 2), F.slice("w", 3, 2), F.slice("w", 5, 2))).alias("n", "t")).where(F.size("t") > 0)
     topics = topics.select("query_id", F.concat_ws(" ", "t").alias("topic")).distinct().join(_vectors(spark, d), F.col("query_id") == F.col("id"), "left").drop("id")
-    return retrieval.learn(topics.withColumn("text", F.col("topic")), _rows(spark, d), _vectors(spark, d), AS_OF)
+    return retrieval.learn(topics.withColumn("text", F.col("topic")), _rows(spark, d), _vectors(spark, d), AS_OF, index=_index(spark, d))
 
 
 @query(with_views(*RANKED) + "SELECT f.query_id, f.id, m.title, substr(m.content, 1, 500) AS preview, round(rerank_score, 3) AS shown_score FROM final f JOIN rows m USING (id) WHERE final_rank <= 5")
@@ -187,7 +216,7 @@ def shown_results(spark, d):
 )
 def rerank_overrides(spark, d):
     again = retrieval.score({"rrf": 0.5}, {"type_boost": 0.0}, 0.5)
-    return retrieval.signals(_pool(spark, d), _rows(spark, d), _asked(spark, d), AS_OF).select("query_id", "id", F.round(again, 6).alias("score"))
+    return retrieval.signals(_pool(spark, d), _rows(spark, d), _asked(spark, d), AS_OF, _index(spark, d)).select("query_id", "id", F.round(again, 6).alias("score"))
 
 
 #: A row is expected for a query if it holds the query's text.
