@@ -85,19 +85,3 @@ def greedy_clusters(rows: DataFrame, key: str, threshold: float = 0.86) -> DataF
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, "id", "position", "embedding").groupBy(key).applyInPandas(cluster, f"{key} {kind}, id long, cluster long")
-
-
-def lsh_neighbours(queries: DataFrame, rows: DataFrame, k: int, tables: int = 8, width: float = 0.4) -> DataFrame:
-    """Approximate top_k: random projections of unit vectors, exact cosine among rows that share a bucket."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def units(df: DataFrame, id: str) -> DataFrame:
-        return Normalizer(inputCol="raw", outputCol="unit").transform(df.where("embedding IS NOT NULL").select(id, array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))).drop("raw")
-
-    corpus, asked = units(rows, "id"), units(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=3).fit(corpus)
-    near = model.approxSimilarityJoin(asked, corpus, 2.0, distCol="d")
-    pairs = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

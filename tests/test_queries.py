@@ -236,7 +236,9 @@ def test_learned_topics(spark, duck):
 
 def test_recall_of_the_approximate_search(spark):
     rows = catalog.queries()["recall_at_k"](spark, SF).collect()
-    assert len(rows) == 10 and sum(r.recall for r in rows) / len(rows) >= 0.9
+    assert len(rows) == 10 and sum(r.recall for r in rows) / len(rows) >= 0.95
+    larger = catalog.queries()["recall_at_k"](spark, "/root/testdata/sf0.1").collect()
+    assert len(larger) == 40 and sum(r.recall for r in larger) / len(larger) >= 0.95 and max(r.share_scored for r in larger) < 0.1
 
 
 def test_greedy_clusters(spark, duck):
