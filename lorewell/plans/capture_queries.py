@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import capture
 from ..functions.text import project_tag
+from ..streaming import turns
 from . import views as v
 from .registry import query
 from .views import AS_OF, CHUNKS, EPOCH, MEMORIES, RUNS, read, with_views
@@ -312,3 +313,23 @@ def pruned_ledger(spark, d):
     none = F.lit(None).cast("timestamp_ntz")
     rows = read(spark, d, "events").select("event_id", F.when(e % 3 == 0, ts).otherwise(none).alias("skip_until"), F.when(e % 3 == 1, ts).otherwise(none).alias("last_attempt_at"), none.alias("first_failed_at"))
     return capture.pruned(rows, "2024-02-10 00:00:00").select("event_id")
+
+
+KINDS = ("started", "user", "user", "user", "user_other", "legacy", "final", "final", "completed", "aborted", "context", "message", "other", "broken")
+
+
+def _log(spark, d):
+    """Events of a user as a task's log: kinds, turns and messages follow from the event's number."""
+    i = F.col("event_id")
+    h = F.pmod(F.xxhash64("event_id"), F.lit(1_000_003))
+    return read(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("task"), i.alias("n"), v.pick(KINDS, h).alias("kind"), F.concat(F.lit("t"), F.floor(i / 900).cast("string")).alias("turn"),
+        F.when(F.pmod(h, F.lit(29)) != 0, F.concat(F.lit("m"), F.floor(i / 400).cast("string"), F.lit("-"), F.pmod(h, F.lit(5)).cast("string"))).alias("message"),
+        F.when(F.pmod(h, F.lit(31)) != 0, F.concat_ws(" ", "event_type", "props")).alias("text"), F.col("ts").alias("at"),
+    )
+
+
+@query()
+def assembled_turns(spark, d):
+    """Turns of the users' logs and what was dropped, with prompts of the old form; tests hold it against a plain loop."""
+    return turns.assembled(_log(spark, d), legacy=True)

@@ -55,33 +55,3 @@ def strikes(stream: DataFrame, limit: int = 3, cool_days: int = 30) -> DataFrame
         yield pd.DataFrame({"key": [key[0]], "strikes": [count], "cool_until": [str(until) if until is not None else None]})
 
     return stream.groupBy("key").applyInPandasWithState(fold, "key string, strikes long, cool_until string", "count long, last string, until string", "update", GroupStateTimeout.NoTimeout)
-
-
-def turns(stream: DataFrame) -> DataFrame:
-    """task, turn, prompt, answer, dropped: pairs of a task's prompts and the last answer before the next prompt.
-
-    Rows: task string, n long, role (prompt, answer or tool), text. A prompt without an answer, an answer without a
-    prompt and a tool's row are dropped and counted; an open prompt waits in the state for later batches.
-    """
-
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn, prompt, answer, dropped = state.get if state.exists else (0, None, None, 0)
-        out = []
-        for role, text in pd.concat(list(batches)).sort_values("n")[["role", "text"]].itertuples(index=False):
-            if role == "prompt":
-                if prompt is not None and answer is not None:
-                    out.append((key[0], turn, prompt, answer, dropped))
-                    turn += 1
-                elif prompt is not None:
-                    dropped += 1
-                prompt, answer = text, None
-            elif role == "answer" and prompt is not None:
-                answer = text
-            else:
-                dropped += 1
-        state.update((turn, prompt, answer, dropped))
-        yield pd.DataFrame(out, columns=["task", "turn", "prompt", "answer", "dropped"])
-
-    return stream.groupBy("task").applyInPandasWithState(
-        pair, "task string, turn long, prompt string, answer string, dropped long", "turn long, prompt string, answer string, dropped long", "append", GroupStateTimeout.NoTimeout
-    )

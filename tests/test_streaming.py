@@ -60,13 +60,6 @@ def test_strikes_like_a_batch(replay, events):
     assert last == {r.key: r.strikes for r in monitor.strikes(rows).collect()}
 
 
-def test_turns(replay, spark):
-    said = [("a", 0, "prompt", "p0"), ("a", 1, "tool", "t"), ("a", 2, "answer", "x"), ("a", 3, "answer", "y"), ("a", 4, "prompt", "p1"), ("a", 5, "prompt", "p2"), ("a", 6, "answer", "z"), ("a", 7, "prompt", "p3"), ("b", 0, "answer", "?")]
-    rows = spark.createDataFrame([(*r, r[1] // 3) for r in said], "task string, n long, role string, text string, part long")
-    got = replay(rows, jobs.turns, "append")
-    assert {(r.task, r.turn, r.prompt, r.answer, r.dropped) for r in got.collect()} == {("a", 0, "p0", "y", 1), ("a", 1, "p2", "z", 2)}
-
-
 def test_batches_go_to_snapshots(spark, events, tmp_path):
     seen = []
     path = str(tmp_path / "in")
