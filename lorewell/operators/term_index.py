@@ -1,6 +1,6 @@
 """A kept table of terms: searches read the entries of their own words from it, and no text.
 
-Under one folder lie `postings` (an entry for each term of each row: where it stands, how often), in segments and, within
+Under one folder lie `postings` (an entry for each term of each row and place: how often it stands there), in segments and, within
 these, in buckets by the term's first letters; and versions of `docs`, which has every row without its texts and names the
 segment that holds its entries. An update writes entries of new and changed rows only, as a new segment, and then the next
 version of `docs`; what no version names is never read.
@@ -38,24 +38,24 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """id, term, head, body, in_title, in_content, in_context: for each term of a row the number of its places in the title
-    and among what the text answers, the number in the rest, and whether title, text and context hold it."""
+    """id, term, at, n: how often a term stands at each place of a row: in the title, on the line of the questions that the
+    text answers, in their items, in the rest of the text, in the context.
+
+    A row's words are sorted and counted within the row, so nothing is shuffled.
+    """
     content = F.coalesce("content", F.lit(""))
     asked, rest, items = asked_in(content)
 
     def standing(text: Column, at: int) -> Column:
-        return F.transform(tokens(text), lambda w: F.struct(w.alias("term"), F.lit(at).alias("at")))
+        return F.transform(tokens(text), lambda w: F.concat(w, F.lit(f"\0{at}")))
 
     each = standing(F.col("title"), IN_TITLE), standing(asked, IN_LINE), standing(items, IN_ITEMS), standing(rest, IN_REST), standing(F.col("encoding_context"), IN_CONTEXT)
-    words = rows.select("id", F.explode(F.concat(*each)).alias("word")).select("id", "word.*")
-    at = lambda *kinds: F.col("at").isin(*kinds)
-    return words.groupBy("id", "term").agg(
-        F.count_if(at(IN_TITLE, IN_LINE, IN_ITEMS)).alias("head"),
-        F.count_if(at(IN_REST)).alias("body"),
-        F.bool_or(at(IN_TITLE)).alias("in_title"),
-        F.bool_or(at(IN_ITEMS, IN_REST)).alias("in_content"),
-        F.bool_or(at(IN_CONTEXT)).alias("in_context"),
-    )
+    lined = rows.select("id", F.sort_array(F.concat(*each)).alias("s")).where(F.size("s") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = lined.select("id", "s", first.alias("first"))
+    ends = lambda p, j: F.struct(F.get("s", p).alias("word"), (F.coalesce(F.get("first", j + 1), F.size("s")) - p).alias("n"))
+    found = runs.select("id", F.explode(F.transform("first", ends)).alias("run"))
+    return found.select("id", F.substring_index("run.word", "\0", 1).alias("term"), F.substring("run.word", -1, 1).cast("tinyint").alias("at"), "run.n")
 
 
 @F.pandas_udf(T.StringType())
@@ -82,7 +82,8 @@ class TermIndex:
     def weights(self, terms: DataFrame, own: DataFrame) -> DataFrame:
         """id, term, weight of the terms in own rows (id, segment)."""
         found = self.of(terms).join(terms.select("term").distinct(), "term", "left_semi").join(own.select("id", "segment"), ["id", "segment"])
-        return found.select("id", "term", (F.col("head") * TITLE + F.col("body") * BODY).alias("weight")).where("weight > 0")
+        weight = F.when(F.col("at").isin(IN_TITLE, IN_LINE, IN_ITEMS), F.col("n") * TITLE).when(F.col("at") == IN_REST, F.col("n") * BODY)
+        return found.groupBy("id", "term").agg(F.sum(weight).alias("weight")).where("weight > 0")
 
     def lexical_leg(self, queries: DataFrame, prefetch: int, total: int | None = None, **filters) -> DataFrame:
         """The rows of retrieval.lexical_leg, over the rows that the filters leave."""
@@ -96,12 +97,13 @@ class TermIndex:
         terms = query_terms(queries).withColumn("start", head_of(F.col("term")))
         rows = pool.select("id").distinct().join(self.docs.select("id", "segment"), "id")
         near = self.of(terms).withColumn("start", head_of(F.col("term"))).join(terms.select("start").distinct(), "start", "left_semi")
-        near = near.join(rows, ["id", "segment"]).select("id", "start", F.col("term").alias("word"), "in_title", "in_content", "in_context")
+        near = near.join(rows, ["id", "segment"]).select("id", "start", F.col("term").alias("word"), "at")
         asked = pool.select("query_id", "id").join(terms, "query_id")
         t, w = F.col("term"), F.col("word")
         akin = (w == t) | ((F.length(t) >= HEAD) & (w.startswith(t) | ((F.length(w) >= HEAD) & t.startswith(w))))
         met = asked.join(near, ["id", "start"]).where(akin).groupBy("query_id", "id", "term")
-        met = met.agg(F.first("terms").alias("terms"), F.bool_or(F.col("in_title") | F.col("in_content")).alias("a"), F.bool_or("in_title").alias("t"), F.bool_or("in_context").alias("c"))
+        stands = lambda *at: F.bool_or(F.col("at").isin(*at))
+        met = met.agg(F.first("terms").alias("terms"), stands(IN_TITLE, IN_ITEMS, IN_REST).alias("a"), stands(IN_TITLE).alias("t"), stands(IN_CONTEXT).alias("c"))
         share = lambda c: F.count_if(c) / F.first("terms")
         shares = met.groupBy("query_id", "id").agg(share("a").alias("overlap"), share("t").alias("title_overlap"), share("c").alias("context_overlap"))
         length = F.least(F.lit(1.0), F.col("words") / 80.0).alias("length")
@@ -114,7 +116,7 @@ def read(spark: SparkSession, path: str) -> TermIndex | None:
     docs = snapshots.latest(spark, f"{path}/docs")
     if docs is None:
         return None
-    postings = spark.read.schema("term string, id long, head long, body long, in_title boolean, in_content boolean, in_context boolean, segment string, bucket int").parquet(f"{path}/postings")
+    postings = spark.read.schema("term string, id long, at tinyint, n int, segment string, bucket int").parquet(f"{path}/postings")
     return TermIndex(docs, postings, BUCKETS)
 
 
@@ -142,10 +144,9 @@ def update(path: str, rows: DataFrame) -> TermIndex:
         known = before.docs.select("id", "content_hash", "chars", "words", "twin", "segment")
         fresh = hashed.join(known.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
     segment = _add_segment(path, entries(fresh))
-    written = spark.read.schema("id long, in_content boolean").parquet(f"{path}/postings/segment={segment}")
-    words = written.where("in_content").groupBy("id").agg(F.count("*").alias("words"))
+    words = F.size(F.array_distinct(tokens(F.col("content")))).cast("long").alias("words")
     chars = F.coalesce(F.length("content"), F.lit(0)).alias("chars")
-    docs = fresh.select(*light, "content_hash", chars, twin_of("content").alias("twin"), F.lit(segment).alias("segment")).join(words, "id", "left").fillna(0, ["words"])
+    docs = fresh.select(*light, "content_hash", chars, words, twin_of("content").alias("twin"), F.lit(segment).alias("segment"))
     if before is not None:
         docs = docs.unionByName(hashed.select(*light, "content_hash").join(known, ["id", "content_hash"]))
     snapshots.write(docs, f"{path}/docs")

@@ -161,8 +161,7 @@ def index_after_updates(spark, d):
     for state in (plain.where(i % 2 == 0), once, once.where(i % 11 != 3), last.where(i % 11 != 3)):
         index = term_index.update(path, state)
     live = index.postings.join(index.docs.select("id", "segment"), ["id", "segment"], "left_semi")
-    places = F.sum(F.col("head") + F.col("body")).alias("places")
-    return live.where("in_content").groupBy("term").agg(F.count("*").alias("n_rows"), places).where("n_rows > 20")
+    return live.groupBy("term").agg(F.countDistinct("id").alias("n_rows"), F.sum("n").alias("places")).where("n_rows > 20")
 
 
 @query()
