@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import snapshots
-from ..sources.shared import cut
+from ..sources.shared import cut, drop_table
 from .retrieval import BODY, TITLE, asked_in, lexical_rows, query_terms, rank_of, tokens
 
 BUCKETS = 64
@@ -121,10 +121,12 @@ def read(spark: SparkSession, path: str) -> TermIndex | None:
 
 
 def _add_segment(path: str, found: DataFrame) -> str:
-    """Writes entries as a segment, sorted by bucket and term; a term with very many entries is more than one task."""
-    segment, order = uuid.uuid4().hex, ["bucket", "term", "id"]
-    sorted_rows = found.withColumn("bucket", bucket_of(F.col("term"), BUCKETS)).repartitionByRange(*order).sortWithinPartitions(*order)
+    """Writes entries as a segment, sorted by bucket and term; a term with very many entries is more than one task. They are
+    written once before they are sorted, as finding the ranges would make them a second time."""
+    segment, order, made = uuid.uuid4().hex, ["bucket", "term", "id"], cut(found, "entries")
+    sorted_rows = made.withColumn("bucket", bucket_of(F.col("term"), BUCKETS)).repartitionByRange(*order).sortWithinPartitions(*order)
     sorted_rows.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    drop_table(made)
     return segment
 
 
