@@ -123,9 +123,10 @@ def read(spark: SparkSession, path: str) -> TermIndex | None:
 def _add_segment(path: str, found: DataFrame) -> str:
     """Writes entries as a segment, sorted by bucket and term; a term with very many entries is more than one task. They are
     written once before they are sorted, as finding the ranges would make them a second time."""
-    segment, order, made = uuid.uuid4().hex, ["bucket", "term", "id"], cut(found, "entries")
-    sorted_rows = made.withColumn("bucket", bucket_of(F.col("term"), BUCKETS)).repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_rows.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    segment, order = uuid.uuid4().hex, ["bucket", "term", "id"]
+    # in order already within each task, so that the same terms follow each other in the shuffle and are small there
+    made = cut(found.withColumn("bucket", bucket_of(F.col("term"), BUCKETS)).sortWithinPartitions(*order), "entries")
+    made.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     drop_table(made)
     return segment
 
