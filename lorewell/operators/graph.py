@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SYMMETRIC = ("contradicts", "relates_to")
+SYMMETRIC = ("contradicts", "relates_to", "related_to")
 PROVENANCE = ("derived_from", "schema_contains")
 
 
@@ -33,22 +33,30 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge(edges: DataFrame) -> DataFrame:
-    """Edges that coincide after ids were mapped: earliest creation, open if any is open, else the latest expiry."""
+    """Edges that coincide after ids were mapped: earliest creation, open if any is open, else the latest expiry.
+
+    Notes are appended line by line: those of edges that stood there before (not `moved`, if there is such a column),
+    then by creation.
+    """
     open_ended = F.max(F.col("expired_at").isNull())
-    notes = F.array_join(F.array_sort(F.collect_set("note")), "; ")
+    moved = F.col("moved") if "moved" in edges.columns else F.lit(False)
+    notes = F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct(moved.alias("moved"), "created_at", "note"))))
+    lines = F.array_join(F.transform(notes, lambda n: n["note"]), "\n")
     return (
         oriented(edges)
         .where("source_id <> target_id")
         .groupBy("source_id", "target_id", "relation")
-        .agg(F.min("created_at").alias("created_at"), F.when(~open_ended, F.max("expired_at")).alias("expired_at"), F.nullif(notes, F.lit("")).alias("note"), F.count("*").alias("merged"))
+        .agg(F.min("created_at").alias("created_at"), F.when(~open_ended, F.max("expired_at")).alias("expired_at"), F.when(F.count("note") > 0, lines).alias("note"), F.count("*").alias("merged"))
     )
 
 
 def remap(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Both ends by (id, survivor), then merged."""
+    edges = edges.withColumn("moved", F.lit(False))
     for end in ("source_id", "target_id"):
         ids = mapping.select(F.col("id").alias(end), F.col("survivor").alias("_to"))
-        edges = edges.join(ids, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        to = F.coalesce("_to", end)
+        edges = edges.join(ids, end, "left").withColumns({"moved": F.col("moved") | (to != F.col(end)), end: to}).drop("_to")
     return merge(edges)
 
 

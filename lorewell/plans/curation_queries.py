@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import briefing, curation, evaluation, graph, retrieval
+from ..operators import briefing, curation, evaluation, graph, remap, retrieval
 from . import retrieval_queries as rq
 from . import views as v
 from .ledger_queries import LATER
@@ -173,6 +173,33 @@ def edge_remap(spark, d):
     return graph.remap(v.edges(spark, d), ids).drop("note")
 
 
+#: Each document's first equal one.
+FIRSTS = "firsts AS (SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE MIN(doc_id) OVER (PARTITION BY text) END AS s FROM documents)"
+
+
+def _merges(spark, d):
+    """Equal texts: each document into the first of its source, these into the first of all."""
+    named = F.sha2(F.concat(F.coalesce("source", F.lit("")), F.lit("\0"), "text").cast("binary"), 256)
+    texts = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("all"), named.alias("own"))
+    own = texts.groupBy("own").agg(F.min("doc_id").alias("new_id"), F.first("all").alias("all"))
+    everywhere = own.groupBy("all").agg(F.min("new_id").alias("first"))
+    within = texts.select(F.col("doc_id").alias("old_id"), "own").join(own.select("own", "new_id"), "own").select("old_id", "new_id")
+    across = own.select(F.col("new_id").alias("old_id"), "all").join(everywhere, "all").select("old_id", F.col("first").alias("new_id"))
+    return within.where("old_id <> new_id").unionByName(across.where("old_id <> new_id"))
+
+
+@query(
+    with_views(CANDIDATES, FIRSTS)
+    + """, c AS MATERIALIZED (SELECT row_number() OVER () AS n, * FROM candidates),
+ids AS (SELECT n, list(COALESCE(s, x) ORDER BY i) AS source_ids FROM (SELECT n, unnest(list_sort(source_ids)) AS x, generate_subscripts(source_ids, 1) AS i FROM c) LEFT JOIN firsts ON doc_id = x GROUP BY n)
+SELECT run_id, position, COALESCE(s, memory_id) AS memory_id, ids.source_ids, ids.source_ids[1] || ':' || ids.source_ids[-1] AS item_key FROM c JOIN ids USING (n) LEFT JOIN firsts ON doc_id = memory_id"""
+)
+def remapped_references(spark, d):
+    key = F.concat_ws(remap.SEPARATOR, F.element_at("source_ids", 1).cast("string"), F.element_at("source_ids", -1).cast("string"))
+    c = v.candidates(spark, d).withColumn("source_ids", F.array_sort("source_ids")).select("run_id", "position", "memory_id", "source_ids", key.alias("item_key"))
+    return remap.moved(c, remap.survivors(_merges(spark, d)), ids=("memory_id",), arrays=("source_ids",), keys=("item_key",))
+
+
 @query(
     with_views(MEMORIES, CANDIDATES, EDGES)
     + f""", live AS (SELECT DISTINCT source_id, target_id FROM edges WHERE relation = 'contradicts' AND (expired_at IS NULL OR expired_at > TIMESTAMP '{LATER}'))
