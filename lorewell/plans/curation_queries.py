@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import briefing, curation, evaluation, graph, remap, retrieval
+from ..operators import briefing, curation, evaluation, graph, remap, retrieval, weights
 from . import retrieval_queries as rq
 from . import views as v
 from .ledger_queries import LATER
@@ -268,9 +268,17 @@ h AS (SELECT name, query_id, MIN(rank) AS rank FROM s WHERE (query_id, id) IN (S
 SELECT name, round(SUM(1.0::DOUBLE / rank) / (SELECT COUNT(DISTINCT query_id) FROM expected), 6) AS mrr FROM h GROUP BY name"""
 )
 def weight_search(spark, d):
-    weights = spark.createDataFrame(list(SETS), "name string, w_rrf double, w_overlap double")
+    sets = spark.createDataFrame(list(SETS), "name string, w_rrf double, w_overlap double")
     signals = retrieval.signals(rq._pool(spark, d), rq._rows(spark, d), rq._asked(spark, d), AS_OF)
-    return evaluation.search(signals, weights, rq._expected(spark, d), retrieval.score({"rrf": F.col("w_rrf"), "overlap": F.col("w_overlap")}))
+    return evaluation.search(signals, sets, rq._expected(spark, d), retrieval.score({"rrf": F.col("w_rrf"), "overlap": F.col("w_overlap")}))
+
+
+@query()
+def weight_optimum(spark, d):
+    """name, kind, before, after, mrr_before, mrr_after, measured: weights that find the benchmark's passages best;
+    tests hold it against the stated sets and a plain ranking."""
+    signals = retrieval.signals(rq._pool(spark, d), rq._rows(spark, d), rq._asked(spark, d), AS_OF, rq._index(spark, d))
+    return weights.optimise(signals, rq._expected(spark, d), [{"rrf": a, "overlap": b} for _, a, b in SETS])
 
 
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'verbatim_exact' END AS found, COUNT(*) AS n FROM documents WHERE regexp_matches(text, '[A-Za-z]{3,} [A-Za-z]{3,}') GROUP BY 1")

@@ -39,7 +39,7 @@ def test_like_sql(spark, duck, name):
 
 
 def test_all_queries_have_sql_or_a_test():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"strike_ledger", "section_chunks", "question_index", "hybrid_parent_cap", "memory_search", "memory_search_of_project", "search_context", "learned_topics", "recall_at_k", "assembled_turns", "greedy_clusters", "subsequence_turns"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"strike_ledger", "section_chunks", "question_index", "hybrid_parent_cap", "memory_search", "memory_search_of_project", "search_context", "learned_topics", "recall_at_k", "assembled_turns", "greedy_clusters", "subsequence_turns", "weight_optimum"}
 
 
 def test_section_chunks(spark, duck):
