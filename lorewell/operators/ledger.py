@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 SEATS = ("seat_a", "seat_b", "seat_c", "seat_d")
 
 
@@ -167,20 +169,31 @@ def within_characters(rows: DataFrame, key: str, order: list[Column], length: Co
     return rows.withColumn("running", running).where(F.col("running") <= cap)
 
 
-def stratified(counts: DataFrame, total: int, cap: int) -> DataFrame:
-    """channel, quota: in proportion to the square root of the channel's count, at least one, at most its count and
-    the cap; what rounding leaves goes, one each, to the largest channels that have room.
+def quotas(counts: DataFrame) -> DataFrame:
+    """channel, quota of (channel, n, room, total), a row for each channel: `total` slots, the same in all rows, in
+    proportion to the square root of n, at most n and the channel's room.
 
-    counts: (channel, n), a row for each channel.
+    Shares are rounded down; then, the largest channel first (ties by name), each without a slot gets one while slots
+    are left, and what is left after that goes to each channel until it is full. Each step is a running remainder of
+    the slots, so there is no loop; the quotas sum to the total unless all channels are full. Channels without rows or
+    room have no row here, and those that get nothing neither.
     """
-    everything = Window.partitionBy()
-    root = F.sqrt("n") / F.sum(F.sqrt("n")).over(everything)
-    top = F.least("n", F.lit(cap))
-    base = counts.where("n > 0").withColumn("top", top).withColumn("quota", F.least("top", F.greatest(F.lit(1), F.floor(root * total))))
-    left = F.greatest(F.lit(0), F.lit(total) - F.sum("quota").over(everything))
-    open_ = F.col("quota") < F.col("top")
-    place = F.row_number().over(Window.orderBy(F.desc(open_), F.desc("n"), "channel"))
-    return base.withColumn("left", left).withColumn("place", place).select("channel", (F.col("quota") + (open_ & (F.col("place") <= F.col("left"))).cast("int")).alias("quota"))
+    everything, largest = Window.partitionBy(), Window.orderBy(F.desc("n"), "channel")
+    before = largest.rowsBetween(Window.unboundedPreceding, -1)
+    top = F.least("n", "room").cast("long")
+    share = F.floor(F.col("total") * F.sqrt("n") / F.sum(F.sqrt("n")).over(everything))
+    shared = counts.where("n > 0 AND room > 0 AND total > 0").withColumn("top", top).withColumn("base", F.least("top", share))
+    empty = (F.col("base") == 0).cast("long")
+    one = shared.withColumn("one", empty * (F.coalesce(F.sum(empty).over(before), F.lit(0)) < F.col("total") - F.sum("base").over(everything)).cast("long"))
+    held = one.withColumn("held", F.col("base") + F.col("one"))
+    open_ = F.col("top") - F.col("held")
+    left = F.col("total") - F.sum("held").over(everything) - F.coalesce(F.sum(open_).over(before), F.lit(0))
+    return held.select("channel", (F.col("held") + F.greatest(F.lit(0), F.least(open_, left))).cast("long").alias("quota")).where("quota > 0")
+
+
+def stratified(counts: DataFrame, total: int, cap: int) -> DataFrame:
+    """channel, quota of (channel, n): as `quotas` has it, with the same cap for every channel."""
+    return quotas(counts.select("channel", "n", F.lit(cap).alias("room"), F.lit(total).alias("total")))
 
 
 def arrival_window(runs: DataFrame) -> DataFrame:
@@ -199,15 +212,40 @@ def spend(usage: DataFrame, prices: DataFrame, cap: float) -> DataFrame:
     return priced.withColumn("allowed", F.round(F.col("running") - F.col("cost"), 9) < cap)
 
 
-def select_arrivals(rows: DataFrame, quotas: DataFrame, salient: int, per_channel: int) -> DataFrame:
-    """channel, id, why: the `salient` rows of greatest salience, at most `per_channel` of a channel, and of the rest
-    each channel's newest up to its quota (channel, quota)."""
+def select_arrivals(rows: DataFrame, size: int = 14, per_channel: int = 4, generated: int = 3) -> DataFrame:
+    """channel, id, why: `size` rows of (channel, id, generated, salience, novelty, created_at), at most `per_channel` of
+    a channel and `generated` generated ones, both halves together.
+
+    The first half of the slots goes to the rows of greatest salience, then novelty; within one pair of these the
+    channels take turns, the one with most rows of the pair first, each with its newest. Rows without a salience don't
+    compete there. What is left goes to channels by `quotas` of the rows and room that are left, to each channel's
+    newest rows; generated ones get slots only if the others leave some. A null channel is one of the name ''. Ties go to
+    the greater id in the first half, to the smaller in the second. Only a channel's best rows leave its partitions.
+    """
+    rows = rows.withColumn("channel", F.coalesce("channel", F.lit("")))
+    scored = rows.where("salience IS NOT NULL").withColumn("novelty", F.coalesce("novelty", F.lit(0)))
+    tier = ["salience", "novelty"]
+    newest = [F.desc("created_at"), F.desc("id")]
     own = Window.partitionBy("channel")
-    best = rows.withColumn("_n", F.row_number().over(own.orderBy(F.desc("salience"), "id"))).where(F.col("_n") <= per_channel)
-    first = best.orderBy(F.desc("salience"), "id").limit(salient).select("channel", "id", F.lit("salience").alias("why"))
-    left = rows.join(first.select("id"), "id", "left_anti").withColumn("_n", F.row_number().over(own.orderBy(F.desc("created_at"), "id")))
-    rest = left.join(quotas, "channel").where(F.col("_n") <= F.col("quota")).select("channel", "id", F.lit("share").alias("why"))
-    return first.unionByName(rest)
+    best = scored.withColumn("_n", F.row_number().over(own.orderBy(*map(F.desc, tier), *newest))).where(F.col("_n") <= per_channel)
+    sizes = scored.groupBy("channel", *tier).agg(F.count("*").alias("_size"))
+    turns = best.withColumn("_turn", F.row_number().over(Window.partitionBy("channel", *tier).orderBy(*newest))).join(sizes, ["channel", *tier])
+    order = [*map(F.desc, tier), F.col("_turn"), F.desc("_size"), F.col("channel")]
+    few = turns.withColumn("_g", F.row_number().over(Window.partitionBy("generated").orderBy(*order))).where(~F.col("generated") | (F.col("_g") <= generated))
+    first = cut(few.orderBy(*order).limit(size // 2).select("channel", "id", "generated"), "salient")
+
+    left = rows.join(first.select("id"), "id", "left_anti")
+    taken = first.groupBy("channel").agg(F.count("*").alias("_taken"))
+    held = first.agg(F.count("*").alias("_all"), F.count_if("generated").alias("_generated"))
+    counts = left.groupBy("channel", "generated").agg(F.count("*").alias("n")).join(taken, "channel", "left").join(F.broadcast(held))
+    counts = cut(counts.withColumn("room", F.lit(per_channel) - F.coalesce("_taken", F.lit(0))), "room")
+    plain = quotas(counts.where("NOT generated").withColumn("total", F.lit(size) - F.col("_all")))
+    given = plain.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("_given"))
+    open_ = F.least(F.lit(generated) - F.col("_generated"), F.lit(size) - F.col("_all") - F.col("_given"))
+    every = plain.unionByName(quotas(counts.where("generated").join(F.broadcast(given)).withColumn("total", open_)))
+    new = left.withColumn("_n", F.row_number().over(own.orderBy(F.desc("created_at"), "id"))).where(F.col("_n") <= per_channel)
+    rest = new.join(every, "channel").where(F.col("_n") <= F.col("quota")).select("channel", "id", F.lit("share").alias("why"))
+    return first.select("channel", "id", F.lit("salience").alias("why")).unionByName(rest)
 
 
 def batches(turns: DataFrame, most_turns: int, most_characters: int) -> DataFrame:

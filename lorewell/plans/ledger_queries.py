@@ -250,12 +250,15 @@ def interleaved_inventory(spark, d):
     return ledger.within_characters(turns, "type", order, F.length("title") + 1, 2000).select("id", "type", "source_type", "turn", "running")
 
 
-@query(
-    """WITH c AS (SELECT source AS channel, COUNT(*) AS n FROM documents WHERE lang <> 'en' GROUP BY 1),
-b AS (SELECT channel, n, LEAST(n, 12) AS top, LEAST(LEAST(n, 12), GREATEST(1, floor(sqrt(n) / SUM(sqrt(n)) OVER () * 150))::BIGINT) AS quota FROM c),
-p AS (SELECT *, GREATEST(0, 150 - SUM(quota) OVER ()) AS remain, ROW_NUMBER() OVER (ORDER BY (quota < top) DESC, n DESC, channel) AS place FROM b)
-SELECT channel, quota + (quota < top AND place <= remain)::INTEGER AS quota FROM p"""
-)
+#: Quotas of channels in a table with columns part, channel, n, room and total.
+QUOTAS = """SELECT channel, quota FROM (
+  SELECT channel, base + one + GREATEST(0, LEAST(top - base - one, total - SUM(base + one) OVER (PARTITION BY part) - COALESCE(SUM(top - base - one) OVER (PARTITION BY part ORDER BY n DESC, channel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS quota
+  FROM (SELECT *, CASE WHEN base = 0 AND COUNT(*) FILTER (base = 0) OVER (PARTITION BY part ORDER BY n DESC, channel ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= total - SUM(base) OVER (PARTITION BY part) THEN 1 ELSE 0 END AS one
+    FROM (SELECT *, LEAST(top, floor(total * sqrt(n) / SUM(sqrt(n)) OVER (PARTITION BY part))::BIGINT) AS base FROM (SELECT *, LEAST(n, room) AS top FROM {t} WHERE n > 0 AND room > 0 AND total > 0))))
+WHERE quota > 0"""
+
+
+@query("WITH c AS (SELECT 0 AS part, source AS channel, COUNT(*) AS n, 12 AS room, 150 AS total FROM documents WHERE lang <> 'en' GROUP BY 2)\n" + QUOTAS.format(t="c"))
 def stratified_quotas(spark, d):
     counts = read(spark, d, "documents").where("lang <> 'en'").groupBy(F.col("source").alias("channel")).agg(F.count("*").alias("n"))
     return ledger.stratified(counts, 150, 12)

@@ -7,21 +7,33 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import ledger
 from . import views as v
+from .ledger_queries import QUOTAS
 from .registry import query
 from .views import CANDIDATES, MEMORIES, read, with_views
 
 
 @query(
     with_views(MEMORIES)
-    + """, r AS (SELECT id, source_type AS channel, access_count * 1.0::DOUBLE + confidence AS salience, created_at FROM memories WHERE status = 'active'),
-b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY channel ORDER BY salience DESC, id) AS n FROM r), f AS (SELECT channel, id FROM b WHERE n <= 4 ORDER BY salience DESC, id LIMIT 40),
-l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY channel ORDER BY created_at DESC, id) AS n FROM r WHERE id NOT IN (SELECT id FROM f))
-SELECT channel, id, 'salience' AS why FROM f UNION ALL SELECT channel, id, 'share' FROM l WHERE n <= 2"""
+    + """, r AS (SELECT id, CASE WHEN type IN ('insight', 'schema') THEN 'generated:' || type ELSE COALESCE(source_type, '') END AS channel, type IN ('insight', 'schema') AS gen, CASE WHEN mem_class <> 'procedural' THEN length(content) // 1000 END AS salience, access_count AS novelty, created_at FROM memories WHERE status = 'active'),
+t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY channel, salience, novelty ORDER BY created_at DESC, id DESC) AS turn, COUNT(*) OVER (PARTITION BY channel, salience, novelty) AS size FROM r WHERE salience IS NOT NULL),
+o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY salience DESC, novelty DESC, turn, size DESC, channel) AS place FROM t),
+c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY channel ORDER BY place) AS own FROM o), g AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY gen ORDER BY place) AS nth FROM c WHERE own <= 6),
+f AS (SELECT channel, id, gen FROM g WHERE NOT gen OR nth <= 5 ORDER BY place LIMIT 20),
+l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY channel ORDER BY created_at DESC, id) AS n FROM r WHERE id NOT IN (SELECT id FROM f)),
+k AS (SELECT channel, gen, COUNT(*) AS n, 6 - (SELECT COUNT(*) FROM f WHERE f.channel = l.channel) AS room FROM l GROUP BY 1, 2),
+p AS (SELECT 0 AS part, channel, n, room, 40 - (SELECT COUNT(*) FROM f) AS total FROM k WHERE NOT gen), pq AS ("""
+    + QUOTAS.format(t="p")
+    + """), s AS (SELECT 0 AS part, channel, n, room, LEAST(5 - (SELECT COUNT(*) FROM f WHERE gen), 40 - (SELECT COUNT(*) FROM f) - (SELECT COALESCE(SUM(quota), 0) FROM pq))::BIGINT AS total FROM k WHERE gen), sq AS ("""
+    + QUOTAS.format(t="s")
+    + """)
+SELECT channel, id, 'salience' AS why FROM f UNION ALL SELECT l.channel, id, 'share' FROM l JOIN (SELECT * FROM pq UNION ALL SELECT * FROM sq) q ON q.channel = l.channel WHERE n <= quota"""
 )
 def arrival_selection(spark, d):
-    rows = v.memories(spark, d).where("status = 'active'").select("id", F.col("source_type").alias("channel"), (F.col("access_count") * 1.0 + F.col("confidence")).alias("salience"), "created_at")
-    quotas = rows.select("channel").distinct().withColumn("quota", F.lit(2))
-    return ledger.select_arrivals(rows, quotas, 40, 4)
+    own = F.col("type").isin("insight", "schema")
+    channel = F.when(own, F.concat(F.lit("generated:"), "type")).otherwise(F.col("source_type"))
+    salience = F.when(F.col("mem_class") != "procedural", F.floor(F.length("content") / 1000))
+    rows = v.memories(spark, d).where("status = 'active'").select("id", channel.alias("channel"), own.alias("generated"), salience.alias("salience"), F.col("access_count").alias("novelty"), "created_at")
+    return ledger.select_arrivals(rows, 40, 6, 5)
 
 
 @query(
