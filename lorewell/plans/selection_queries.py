@@ -31,8 +31,9 @@ SELECT channel, id, 'salience' AS why FROM f UNION ALL SELECT l.channel, id, 'sh
 def arrival_selection(spark, d):
     own = F.col("type").isin("insight", "schema")
     channel = F.when(own, F.concat(F.lit("generated:"), "type")).otherwise(F.col("source_type"))
-    salience = F.when(F.col("mem_class") != "procedural", F.floor(F.length("content") / 1000))
-    rows = v.memories(spark, d).where("status = 'active'").select("id", channel.alias("channel"), own.alias("generated"), salience.alias("salience"), F.col("access_count").alias("novelty"), "created_at")
+    lengths = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.floor(F.length("text") / 1000).alias("_length"))  # before any shuffle
+    salience = F.when(F.col("mem_class") != "procedural", F.col("_length"))
+    rows = v.memories(spark, d).where("status = 'active'").join(lengths, "id").select("id", channel.alias("channel"), own.alias("generated"), salience.alias("salience"), F.col("access_count").alias("novelty"), "created_at")
     return ledger.select_arrivals(rows, 40, 6, 5)
 
 
