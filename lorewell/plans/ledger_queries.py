@@ -51,7 +51,7 @@ def stale_edges(spark, d):
 @query(
     with_views(EDGES, ORIENTED)
     + """SELECT s AS source_id, t AS target_id, relation, MIN(created_at) AS created_at, CASE WHEN NOT bool_or(expired_at IS NULL) THEN MAX(expired_at) END AS expired_at,
-  NULLIF(COALESCE(array_to_string(list_sort(list_distinct(list(note) FILTER (note IS NOT NULL))), '; '), ''), '') AS note, COUNT(*) AS merged FROM oriented WHERE s <> t GROUP BY s, t, relation"""
+  string_agg(note, chr(10) ORDER BY created_at, note) AS note, COUNT(*) AS merged FROM oriented WHERE s <> t GROUP BY s, t, relation"""
 )
 def edge_merge(spark, d):
     return graph.merge(v.edges(spark, d))
