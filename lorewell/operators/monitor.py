@@ -38,34 +38,45 @@ def zero_output(rows: DataFrame, wanted: DataFrame, as_of: str, days: int) -> Da
     return wanted.join(last, "type", "left").select("type", "last_day", silent.alias("silent"))
 
 
-def strikes(outcomes: DataFrame, limit: int = 3, cool_days: int = 30) -> DataFrame:
-    """key, strikes, cool_until after a fold over outcomes (key, at, outcome ok / failed / deferred) in time order.
+#: Deferrals in a row that make a strike.
+DEFERRALS = 3
 
-    A failure is a strike, one a day at most; `limit` strikes start a cool-off, in which nothing counts; a success
-    clears all. Deferrals change nothing.
-    """
+
+def strikes(outcomes: DataFrame, limit: int = 3, cool_days: int = 30) -> DataFrame:
+    """key, strikes, cool_until after a fold over outcomes (key, at, outcome ok / deferred / too_short / any failure) in
+    time order, as `strike` has it; outcomes that are null are passed over."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        count, last, until = 0, None, None
+        state = START
         for at, outcome in group.sort_values(["at", "outcome"])[["at", "outcome"]].itertuples(index=False):
-            count, last, until = strike(count, last, until, at, outcome, limit, cool_days)
-        return pd.DataFrame({"key": [group["key"].iloc[0]], "strikes": [count], "cool_until": [until]}).astype({"cool_until": "datetime64[ns]"})
+            state = strike(state, at, outcome, limit, cool_days)
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "strikes": [state[0]], "cool_until": [state[2]]}).astype({"cool_until": "datetime64[ns]"})
 
-    return outcomes.select("key", "at", "outcome").groupBy("key").applyInPandas(fold, f"key {dict(outcomes.dtypes)['key']}, strikes long, cool_until timestamp_ntz")
+    return outcomes.where("outcome IS NOT NULL").select("key", "at", "outcome").groupBy("key").applyInPandas(fold, f"key {dict(outcomes.dtypes)['key']}, strikes long, cool_until timestamp_ntz")
 
 
-def strike(count: int, last, until, at, outcome: str, limit: int, cool_days: int):
-    """The state (count, day of the last strike, end of the cool-off) after one outcome."""
+#: Strikes, day of the last one, end of the cool-off, deferrals in a row.
+START = (0, None, None, 0)
+
+
+def strike(state: tuple, at, outcome: str, limit: int, cool_days: int) -> tuple:
+    """The state after one outcome.
+
+    A success clears it. A failure is a strike, one a day at most, and `limit` strikes or more start a cool-off from
+    each further one; the count outlives the cool-off. Three deferrals in a row are a failure; any attempt ends their
+    row. A text that is too short cools off at once and clears the count.
+    """
+    count, last, until, deferrals = state
+    cool = at + pd.Timedelta(days=cool_days)
     if outcome == "ok":
-        return 0, None, None
-    if outcome != "failed" or (until is not None and at < until):
-        return count, last, until
-    if until is not None:
-        count, last, until = 0, None, None
-    if last == at.date():
-        return count, last, until
-    count += 1
-    return count, at.date(), (at + pd.Timedelta(days=cool_days) if count >= limit else None)
+        return START
+    if outcome == "deferred" and deferrals + 1 < DEFERRALS:
+        return count, last, until, deferrals + 1
+    if outcome == "too_short":
+        return 0, None, cool, 0
+    if count and last == at.date():
+        return count, last, until, 0
+    return count + 1, at.date(), (cool if count + 1 >= limit else None), 0
 
 
 def findings(*parts: DataFrame) -> DataFrame:

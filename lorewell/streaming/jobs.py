@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.monitor import strike
+from ..operators.monitor import START, strike
 
 
 def distinct_arrivals(stream: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
@@ -46,12 +46,13 @@ def strikes(stream: DataFrame, limit: int = 3, cool_days: int = 30) -> DataFrame
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last, until = state.get if state.exists else (0, None, None)
-        last, until = (pd.Timestamp(last).date() if last else None), (pd.Timestamp(until) if until else None)
+        count, last, until, deferrals = state.get if state.exists else START
+        now = (count, pd.Timestamp(last).date() if last else None, pd.Timestamp(until) if until else None, deferrals)
         rows = pd.concat(list(batches)).sort_values(["at", "outcome"])
         for at, outcome in rows[["at", "outcome"]].itertuples(index=False):
-            count, last, until = strike(count, last, until, at, outcome, limit, cool_days)
-        state.update((count, str(last) if last else None, str(until) if until is not None else None))
+            now = strike(now, at, outcome, limit, cool_days)
+        count, last, until, deferrals = now
+        state.update((count, str(last) if last else None, str(until) if until is not None else None, deferrals))
         yield pd.DataFrame({"key": [key[0]], "strikes": [count], "cool_until": [str(until) if until is not None else None]})
 
-    return stream.groupBy("key").applyInPandasWithState(fold, "key string, strikes long, cool_until string", "count long, last string, until string", "update", GroupStateTimeout.NoTimeout)
+    return stream.where("outcome IS NOT NULL").groupBy("key").applyInPandasWithState(fold, "key string, strikes long, cool_until string", "count long, last string, until string, deferrals long", "update", GroupStateTimeout.NoTimeout)

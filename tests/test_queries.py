@@ -282,7 +282,8 @@ def test_strikes(spark):
     from lorewell.operators import monitor
 
     t = lambda d, h=0: f"2024-01-{d:02d} {h:02d}:00:00"
-    rows = [("a", t(1), "failed"), ("a", t(1, 5), "failed"), ("a", t(2), "failed"), ("a", t(3), "deferred"), ("a", t(4), "failed"), ("a", t(5), "failed"), ("b", t(1), "failed"), ("b", t(2), "ok"), ("c", t(1), "deferred")]
+    rows = [("a", t(1), "failed"), ("a", t(1, 5), "failed"), ("a", t(2), "failed"), ("a", t(3), "deferred"), ("a", t(4), "failed"), ("a", t(5), "failed"), ("b", t(1), "failed"), ("b", t(2), "ok"), ("c", t(1), "deferred"), *(("d", t(n), "deferred") for n in range(1, 8)), *(("e", t(n), o) for n, o in enumerate(("deferred", "deferred", "failed", "deferred", "deferred"), 1)), ("f", t(1), "failed"), ("f", t(2), "too_short"), ("f", t(2, 5), "failed"), ("g", t(1), None)]
     df = spark.createDataFrame(rows, "key string, at string, outcome string").selectExpr("key", "cast(at as timestamp_ntz) at", "outcome")
     got = {r.key: r for r in monitor.strikes(df).collect()}
-    assert (got["a"].strikes, str(got["a"].cool_until)) == (3, "2024-02-03 00:00:00") and got["b"].strikes == got["c"].strikes == 0
+    assert (got["a"].strikes, str(got["a"].cool_until)) == (4, "2024-02-04 00:00:00") and got["b"].strikes == got["c"].strikes == 0
+    assert (got["d"].strikes, got["e"].strikes, got["f"].strikes, got["f"].cool_until) == (2, 1, 1, None) and "g" not in got
