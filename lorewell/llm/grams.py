@@ -11,8 +11,9 @@ from .shared import LOWER
 
 #: The end and the start of a text, as words.
 END, START = np.uint64(1), np.uint64(2)
-#: Tokens from which a context is spread over several ranges, and over several groups of texts.
-SPLIT, GROUP = 1 << 20, 1 << 23
+#: Tokens from which a context is spread over several ranges, and trigrams of slices that are brought together at a time.
+#: Both bound memory only; scores don't depend on them.
+SPLIT, GROUP = 1 << 20, 1 << 22
 ESCAPE = (1 << 24) - 1
 
 
@@ -143,13 +144,12 @@ def in_order(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[np.nd
     return order, np.r_[True, key[1:] != key[:-1]][: len(key)]
 
 
-def slices(texts: list[np.ndarray], train: np.ndarray, group: int, dictionary: Dictionary, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+def slices(texts: list[np.ndarray], train: np.ndarray, blob: int, dictionary: Dictionary, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(range, its trigrams and their counts in training texts, the texts they stand in) of some texts' tokens.
 
     The trigram of a token is the word, the one before it and the one before that. Its range follows from the word
     before, b, so that a restaurant lies whole in one range; for a very frequent b from b and a, and its restaurant is
-    shared. A trigram context that may hold more than GROUP tokens becomes a restaurant for each of some groups of
-    texts, all with the same parent.
+    shared. A trigram context (a, b) is never parted, however many tokens it has. Nothing depends on the blob's number.
     """
     lengths = np.array([len(t) for t in texts])
     names, w = np.unique(np.concatenate([*texts, [START]]), return_inverse=True)
@@ -165,12 +165,6 @@ def slices(texts: list[np.ndarray], train: np.ndarray, group: int, dictionary: D
     rank = np.argsort(by_code, kind="stable")
     names, counts, codes = names[by_code], counts[by_code], codes[by_code]
     a, b, w = rank[a], rank[b], rank[w]
-    groups = -(-np.minimum(counts[a], counts[b]) // GROUP)
-    if (groups > 1).any():
-        many = np.flatnonzero(groups > 1)
-        other, at = np.unique(mixed(names[a[many]] ^ (np.uint64(group) % groups[many].astype(np.uint64) + np.uint64(1))), return_inverse=True)
-        a[many] = len(names) + at
-        names, counts, codes = np.concatenate([names, other]), np.r_[counts, np.zeros(len(other), np.int64)], np.r_[codes, np.full(len(other), ESCAPE)]
     order, new_type = in_order(a, b, w, len(names))
     text, number = text[order], np.cumsum(new_type) - 1
     new = np.flatnonzero(new_type | np.r_[True, text[1:] != text[:-1]])
@@ -206,10 +200,11 @@ def slices(texts: list[np.ndarray], train: np.ndarray, group: int, dictionary: D
 
 
 def types_of(blobs: list[bytes], dictionary: Dictionary):
-    """(a, b, w, training counts, names, numbers of trigrams) of slices: words are numbers, whose hashes are in names."""
+    """(a, b, w, training counts, names, numbers of each slice's trigrams) of all slices' different trigrams, ordered by
+    b, then w, then a: words are numbers, whose hashes are in names. Slices are brought together GROUP trigrams at a time."""
     parts = [unpack(data) for data in blobs]
     rare = np.unique(np.concatenate([p[k] for p in parts for k in (1, 4, 6)]))
-    n = len(dictionary.words)
+    n, names = len(dictionary.words), np.concatenate([dictionary.words, rare])
 
     def numbered(codes, hashes):
         codes = codes.astype(np.int64)
@@ -223,8 +218,38 @@ def types_of(blobs: list[bytes], dictionary: Dictionary):
         starts = np.r_[0, np.cumsum(run)[:-1]].astype(np.int64)
         return total - np.repeat(np.r_[0, total][starts], run)
 
-    run = [p[2].astype(np.int64) for p in parts]
-    b = np.concatenate([np.repeat(numbered(np.cumsum(p[0]), p[1]), r) for p, r in zip(parts, run, strict=True)])
-    a = np.concatenate([numbered(p[3], p[4]) for p in parts])
-    w = np.concatenate([numbered(risen(p[5], r), p[6]) for p, r in zip(parts, run, strict=True)])
-    return a, b, w, np.concatenate([p[7] for p in parts]).astype(np.int64), np.concatenate([dictionary.words, rare]), [len(p[7]) for p in parts]
+    def together(a, b, w, trained):
+        order, new = in_order(a, b, w, len(names))
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = order[new]
+        return a[first], b[first], w[first], np.bincount(of, weights=trained, minlength=len(first)).astype(np.int64), of
+
+    ends = np.cumsum([len(p[7]) for p in parts])
+    group = (ends - 1) // GROUP
+    found, places = [], []
+    for g in np.unique(group).tolist():
+        own = [parts[k] for k in np.flatnonzero(group == g)]
+        run = [p[2].astype(np.int64) for p in own]
+        b = np.concatenate([np.repeat(numbered(np.cumsum(p[0]), p[1]), r) for p, r in zip(own, run, strict=True)])
+        a = np.concatenate([numbered(p[3], p[4]) for p in own])
+        w = np.concatenate([numbered(risen(p[5], r), p[6]) for p, r in zip(own, run, strict=True)])
+        trained = np.concatenate([p[7] for p in own]).astype(np.int64)
+        for k in np.flatnonzero(group == g):
+            parts[k] = None
+        del own
+        *types, of = together(a, b, w, trained)
+        found.append(types)
+        places.append(of.astype(np.int32))
+        del a, b, w, of
+    types, of = found[0], places[0]
+    if len(found) > 1:
+        *types, merged = together(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        at = np.cumsum([0, *(len(f[0]) for f in found)])
+        of = np.concatenate([merged[lo + p].astype(np.int32) for lo, p in zip(at, places, strict=False)])
+    return *types, names, np.split(of, ends[:-1])
+
+
+def units(keys: np.ndarray, seed: int) -> np.ndarray:
+    """For each key a number between 0 and 1 that depends on it and the seed alone."""
+    return ((mixed(mixed(keys ^ np.uint64(seed)) + np.uint64(seed)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53

@@ -77,12 +77,32 @@ def log_chance(n: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     return np.where(t <= bound, near(t), far(t) + near(bound) - far(bound))
 
 
+def gammas(shape: np.ndarray, units) -> np.ndarray:
+    """A gamma variable of each shape from 1 on, by Marsaglia and Tsang; units(k, rows) are those rows' k-th numbers between 0 and 1."""
+    d = shape - 1 / 3
+    c, out, left, k = 1 / np.sqrt(9 * d), np.empty(len(d)), np.arange(len(d)), 0
+    while len(left):
+        x = np.sqrt(-2 * np.log(units(k, left))) * np.cos(2 * np.pi * units(k + 1, left))
+        v = np.maximum(1 + c[left] * x, 1e-12) ** 3
+        value = d[left] * v
+        taken = (v > 1e-30) & (np.log(units(k + 2, left)) < 0.5 * x * x + d[left] - value + d[left] * np.log(v))
+        out[left[taken]] = value[taken]
+        left, k = left[~taken], k + 3
+    return out
+
+
 def draw(n: np.ndarray, log_rate: np.ndarray, others: np.ndarray | None, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """drawn() with numbers of a generator."""
+    return drawn(n, log_rate, others, discount, rng.random(len(n)), rng.random(len(n)))
+
+
+def drawn(n: np.ndarray, log_rate: np.ndarray, others: np.ndarray | None, discount: float, unit: np.ndarray, second: np.ndarray) -> np.ndarray:
     """For each dish with n > 0 customers the number of tables t, drawn from
     p(t) ~ S(n, t) x product over the tables j = 1 to t - 1 after the first of rate x (others + j).
 
     The parent seats a customer for each table, so that its own weight for the dish grows with each: `others` is that
-    weight without this restaurant's tables. Where it is None the factor of each table is the rate alone.
+    weight without this restaurant's tables. Where it is None the factor of each table is the rate alone. unit and
+    second are even numbers between 0 and 1 for each dish; nothing else of a draw is random.
     """
     out = np.ones(len(n), np.int64)
     weigh = np.zeros(len(n)) if others is None else others
@@ -97,15 +117,15 @@ def draw(n: np.ndarray, log_rate: np.ndarray, others: np.ndarray | None, discoun
             factor = log_rate[at, None] + (0 if others is None else np.log(weigh[at, None] + later))
             logits = table[size, 1 : size + 1] + np.concatenate([np.zeros((len(at), 1)), np.cumsum(np.broadcast_to(factor, (len(at), size - 1)), 1)], 1)
             weight = np.cumsum(np.exp(logits - logits.max(1, keepdims=True)), 1)
-            out[at] += (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(1)
+            out[at] += (weight < unit[at, None] * weight[:, -1:]).sum(1)
     large = np.flatnonzero(n > SMALL)
     for k in range(0, len(large), 1 << 14):
         at = large[k : k + (1 << 14)]
-        out[at] = _draw_large(n[at].astype(np.float64), log_rate[at], None if others is None else weigh[at], discount, rng)
+        out[at] = _draw_large(n[at].astype(np.float64), log_rate[at], None if others is None else weigh[at], discount, unit[at], second[at])
     return out
 
 
-def _draw_large(n, log_rate, others, discount, rng) -> np.ndarray:
+def _draw_large(n, log_rate, others, discount, unit, second) -> np.ndarray:
     """The same for many customers: the mode by sections of log t, then a draw among evenly spaced numbers round it."""
 
     def log_p(t, rows=slice(None)):
@@ -134,8 +154,8 @@ def _draw_large(n, log_rate, others, discount, rng) -> np.ndarray:
     candidates = start[:, None] + step[:, None] * offsets
     logits = log_p(candidates)
     weight = np.cumsum(np.exp(logits - logits.max(1, keepdims=True)), 1)
-    pick = (weight < rng.random(len(n))[:, None] * weight[:, -1:]).sum(1)
-    chosen = candidates[np.arange(len(n)), pick] + np.floor((rng.random(len(n)) - 0.5) * step + 0.5) * (step > 1)
+    pick = (weight < unit[:, None] * weight[:, -1:]).sum(1)
+    chosen = candidates[np.arange(len(n)), pick] + np.floor((second - 0.5) * step + 0.5) * (step > 1)
     return np.clip(chosen, 1, n).astype(np.int64)
 
 

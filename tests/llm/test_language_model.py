@@ -259,3 +259,29 @@ def test_ranges_and_shared_contexts_change_little(small, monkeypatch):
     many = rows()
     assert {i: x[:2] for i, x in one.items()} == {i: x[:2] for i, x in many.items()}
     assert sum(x[2] for x in many.values()) == pytest.approx(sum(x[2] for x in one.values()), rel=0.03)
+
+
+def test_ranges_blobs_and_shared_contexts_change_nothing(small, monkeypatch):
+    docs = small("documents").limit(60)
+    rows = lambda: {r.doc_id: r for r in language_model.score_documents(docs).collect()}
+    one = rows()
+    for where, name, value in ((language_model, "RANGE", 6000), (language_model, "TOKENS", 3000), (grams, "SPLIT", 300), (grams, "GROUP", 50), (language_model, "WORDS", 100)):
+        monkeypatch.setattr(where, name, value)
+    many = rows()
+    assert set(one) == set(many)
+    for i, r in one.items():
+        assert many[i][:-2] == r[:-2] and many[i][-2:] == pytest.approx(r[-2:], rel=1e-9)
+
+
+def test_a_hot_trigram_context_is_one_restaurant(monkeypatch):
+    texts = [f"same start word{i % 7}" for i in range(300)]
+    words = [grams.hashed(t) for t in texts]
+    every, counts = np.unique(np.concatenate(words), return_counts=True)
+    dictionary = grams.Dictionary(np.append(every, np.uint64(2)), np.append(counts, len(texts)), int(counts.sum()))
+    monkeypatch.setattr(grams, "GROUP", 20)
+    blobs = [next(iter(grams.slices(words[k : k + 50], np.ones(50, bool), k, dictionary, 1)))[1] for k in range(0, 300, 50)]
+    own = language_model.Range(0, blobs, dictionary)
+    start, same = grams.START, grams.hashed("same")[0]
+    assert set(own.outer_names.tolist()) == {int(x) for x in (start, same, grams.hashed("start")[0])}
+    assert sorted(own.c3.tolist()) == [42] + [43] * 6 + [300] * 3
+    assert len(own.n) == 1 + 1 + 7 + 7 and all(len(t) == 16 for t in own.types)
