@@ -269,7 +269,7 @@ def expired_backups(spark, d):
     return capture.expired_files(_names(spark, d), "1998-08-03 00:00:00", 365)
 
 
-@query("SELECT event_id AS key, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE date_diff('second', ts, TIMESTAMP '2024-01-15') >= 86400 END AS due FROM events")
+@query("SELECT event_id AS key, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE COALESCE(epoch_us(TIMESTAMP '2024-01-15') - epoch_us(ts) >= 86400000000, true) END AS due FROM events")
 def notifications_due(spark, d):
     e = F.col("event_id")
     rows = read(spark, d, "events").select(e.alias("key"), F.when(e % 3 == 0, "never").when(e % 3 == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("last_notified_at"))
