@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from html import entities
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,11 +60,28 @@ def header_fields(spark, d):
     return rows.select("doc_id", F.col("h")["title"].alias("title"), F.col("h")["source_url"].alias("source_url"), F.col("h")["doc_type"].alias("doc_type"), F.length("b").cast("long").alias("body_length"))
 
 
+#: Character references of HTML: a number, or a name, of which the longest beginning that is one counts.
+REFERENCE = r"'&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)'"
+NAMED = ", ".join(f"({_sql(name)}, {_sql(sign)})" for name, sign in sorted(entities.html5.items()))
+#: Numbers that stand for something else than their code point.
+NUMBERED = ", ".join(f"({n}, {_sql(html.unescape(f'&#{n};'))})" for n in (0, 13, *range(128, 160)))
+NO_SIGN = "n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n BETWEEN 127 AND 159 OR n BETWEEN 64976 AND 65007 OR n & 65534 = 65534"
+
+
 @query(
-    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<style\b.*?</style>|<script\b.*?</script>|<head\b.*?</head>', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|blockquote)>', E'\n', 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
-e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\x{a0}]+', ' ', 'g'), ' *\n *', E'\n', 'g'), '\n{3,}', E'\n\n', 'g') AS t FROM c)
+    rf"""WITH names(name, sign) AS (VALUES {NAMED}), numbered(n, sign) AS (VALUES {NUMBERED}),
+a AS (SELECT page_id, row_number() OVER () AS k, regexp_replace(COALESCE(html, ''), '(?is)<style\b.*?</style>|<script\b.*?</script>|<head\b.*?</head>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, k, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|blockquote)>', E'\n', 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
+r AS MATERIALIZED (SELECT page_id, k, regexp_extract_all(t, {REFERENCE}) AS refs, regexp_split_to_array(t, {REFERENCE}) AS rest FROM b),
+u AS (SELECT DISTINCT unnest(refs) AS ref FROM r),
+d AS (SELECT ref, ref[3] IN ('x', 'X') AS hex, ltrim(rtrim(substr(ref, CASE WHEN ref[3] IN ('x', 'X') THEN 4 ELSE 3 END), ';'), '0') AS digits FROM u WHERE ref[2] = '#'),
+n AS (SELECT ref, CASE WHEN digits = '' THEN 0 WHEN length(digits) > 7 THEN 1114112 WHEN hex THEN ('0x' || digits)::BIGINT ELSE digits::BIGINT END AS n FROM d),
+x AS (SELECT ref, substr(ref, 2) AS s, unnest(range(2, length(ref))) AS long FROM u WHERE ref[2] <> '#'),
+m AS (SELECT ref, COALESCE(sign, CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN {NO_SIGN} THEN '' ELSE chr(n::INTEGER) END) AS sign FROM n LEFT JOIN numbered USING (n)
+  UNION ALL SELECT ref, arg_max(sign || substr(s, long + 1), long) FROM x JOIN names ON name = left(s, long) GROUP BY ref),
+g AS (SELECT k, list(COALESCE(sign, ref) ORDER BY i) AS signs FROM (SELECT k, unnest(refs) AS ref, unnest(range(len(refs))) AS i FROM r) LEFT JOIN m USING (ref) GROUP BY k),
+c AS (SELECT page_id, array_to_string(list_transform(range(1, len(rest) + 1), lambda i: rest[i] || COALESCE(signs[i], '')), '') AS t FROM r LEFT JOIN g USING (k)),
+e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\x{{a0}}]+', ' ', 'g'), ' *\n *', E'\n', 'g'), '\n{{3,}}', E'\n\n', 'g') AS t FROM c)
 SELECT page_id, trim(t, E' \t\n\r\x0B\f') AS text FROM e"""
 )
 def page_texts(spark, d):

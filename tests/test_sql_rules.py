@@ -1,6 +1,7 @@
 """Queries and their SQL on small made-up tables that hold what the given ones hold only at size."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
@@ -41,3 +42,11 @@ def test_a_notification_within_the_last_second_of_the_wait_is_not_due(both):
 def test_parts_of_a_second_count(spark):
     rows = spark.createDataFrame([(1, "2024-01-14 23:59:58.300000"), (2, "2024-01-14 23:59:58.600000")], "key long, last_notified_at string")
     assert {r.key: r.due for r in capture.due(rows, "2024-01-15 00:00:00", 1.5).collect()} == {1: True, 2: False}
+
+
+def test_all_references_of_html_are_resolved(both):
+    draw = random.Random(7)
+    parts = ["&", "&amp", "&amp;", "&lt;", "&nbsp;", "&notit;", "&NotEqualTilde;", "&bogus;", "&copy", "&eacute;", "&#38;", "&#x26", "&#0;", "&#1;", "&#13;", "&#128;", "&#xD800;", "&#xFFFE;", "&#x110000;", "&#99999999999999999999;", "&#X00041;", "&#;", "&'", ";", "#60;", "amp;", " ", "\n", "a", "é", "<b>", "</p>", "<style>x</STYLE>"]
+    pages = [(0, None), (1, ""), (2, "and&amp\nby &amp;lt; &copyx"), *((i, "".join(draw.choices(parts, k=draw.randint(1, 12)))) for i in range(3, 2000))]
+    got, want = both("page_texts", pages=("page_id long, html string", pages))
+    assert got == want and {(2, "and&\nby &lt; ©x"), (0, "")} <= set(got)
