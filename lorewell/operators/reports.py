@@ -92,10 +92,8 @@ def playlist(lines: DataFrame, gone: tuple[str, ...] = ("[Deleted video]", "[Pri
 def new_items(candidates: DataFrame, stored: DataFrame, key: str, threshold: float = 0.88) -> DataFrame:
     """candidate_id, similarity of candidates (candidate_id, key, embedding) that neither a stored row of their key nor an
     earlier candidate of it resembles; a candidate that is itself left out still counts as earlier."""
-    from .capture import greatest_similarity
-    from .vectors import cosine
+    from .vectors import met_in_key
 
-    far = greatest_similarity(candidates, stored, key).where(F.col("similarity") < threshold)
-    earlier = candidates.select(key, F.col("candidate_id").alias("_earlier"), F.col("embedding").alias("_b"))
-    twins = candidates.join(earlier, key).where(F.col("_earlier") < F.col("candidate_id")).where(cosine("embedding", "_b") >= threshold).select("candidate_id").distinct()
-    return far.join(twins, "candidate_id", "left_anti")
+    met = candidates.select("candidate_id").distinct().join(met_in_key(candidates, stored, key, threshold), "candidate_id", "left")
+    found = met.select("candidate_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("twin", F.lit(False)).alias("_twin"))
+    return found.where((F.col("similarity") < threshold) & ~F.col("_twin")).drop("_twin")

@@ -1,4 +1,4 @@
-"""Cosine search of a stated set of queries against all rows, and greedy clusters."""
+"""Cosine search of a stated set of queries against all rows, cosines within a key, and greedy clusters."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries that are sent to every task at once; more are searched in further blocks.
 BLOCK = 1024
+#: Vectors of a key from either side that meet in one group, about; rows of cosines that are held at once; and how near to a
+#: threshold a cosine is added up again in the order of its components.
+SIDE, STRIP, NEAR = 4096, 256, 1e-9
 
 
 def cosine(a: str, b: str) -> Column:
@@ -61,6 +66,80 @@ def _searcher(queries: pd.DataFrame, k: int, exclude_self: bool):
     return search
 
 
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as rows, filled up with zeros; their lengths): one that is null or holds null is all zeros, of length -1."""
+    array = column.combine_chunks()
+    lengths = array.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = array.flatten()
+    owner = np.repeat(np.arange(len(lengths)), np.maximum(lengths, 0))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0), np.maximum(lengths, 0))
+    rows = np.zeros((len(lengths), max(1, lengths.max(initial=1))))
+    rows[owner, place] = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        gone = np.unique(owner[flat.is_null().to_numpy(zero_copy_only=False)])
+        rows[gone], lengths[gone] = 0, -1
+    return rows, lengths
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _strips(left: pa.Table, right: pa.Table, threshold: float | None) -> Iterator[tuple[slice, np.ndarray]]:
+    """The cosines of `cosine` between all rows of both, STRIP rows of the left at a time."""
+    (a, of_a), (b, of_b) = _matrix(left["_a"]), _matrix(right["_b"])
+    width = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+    with np.errstate(all="ignore"):
+        own, theirs = _in_order(a, a), _in_order(b, b)
+        for at in range(0, len(a), STRIP):
+            rows = slice(at, at + STRIP)
+            norm = np.sqrt(own[rows, None] * theirs)
+            found = np.where(norm <= 0, 0.0, a[rows] @ b.T / norm)
+            if threshold is not None:
+                i, j = np.nonzero((np.abs(found - threshold) < NEAR) & (norm > 0))
+                for n in range(0, len(i), 65_536):
+                    x, y = i[n : n + 65_536], j[n : n + 65_536]
+                    found[x, y] = _in_order(a[rows][x], b[y]) / norm[x, y]
+            found[of_a[rows, None] != of_b] = 0.0
+            yield rows, found
+
+
+def met_in_key(candidates: DataFrame, stored: DataFrame, key: str, threshold: float | None = None) -> DataFrame:
+    """candidate_id, similarity, twin of candidates (candidate_id, key, embedding): the greatest cosine with a stored row of
+    their key, null without one; and, with a threshold, whether one with an earlier candidate reaches it.
+
+    Both sides of a key are dealt out in blocks of about SIDE vectors and every two blocks are one group, so that a task holds
+    two blocks and a strip of their cosines, however many rows a key has. Equal vectors are looked at once.
+    """
+    kind = dict(candidates.dtypes)["candidate_id"]
+    own = candidates.where("candidate_id IS NOT NULL").select(F.col(key).alias("_key"), "candidate_id", "embedding")
+    others = stored.where("embedding IS NOT NULL").select(F.col(key).alias("_key"), F.lit(None).cast(kind).alias("_earlier"), "embedding").dropDuplicates(["_key", "embedding"])
+    if threshold is not None:
+        others = others.unionByName(own.groupBy("_key", "embedding").agg(F.min("candidate_id").alias("_earlier")))
+    blocks = lambda rows, name: rows.groupBy("_key").agg(F.ceil(F.count("*") / SIDE).cast("int").alias(name))
+    dealt = blocks(own, "_m").join(blocks(others, "_n"), "_key")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    left = own.join(dealt, "_key").select("_key", one_of("candidate_id", "_m").alias("_i"), each("_n").alias("_j"), "candidate_id", F.col("embedding").alias("_a"))
+    right = others.join(dealt, "_key").select("_key", each("_m").alias("_i"), one_of("embedding", "_n").alias("_j"), "_earlier", F.col("embedding").alias("_b"))
+    schema = T.StructType([candidates.schema["candidate_id"], T.StructField("similarity", T.DoubleType()), T.StructField("twin", T.BooleanType())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, greatest, twin = a["candidate_id"], [], []
+        if len(a) and len(b):
+            kept = b["_earlier"].is_null().to_numpy()
+            of = np.asarray(ids.to_pylist())
+            earlier = np.asarray(b["_earlier"].filter(pa.array(~kept)).to_pylist(), dtype=of.dtype if kept.all() else None)
+            for rows, found in _strips(a, b, threshold):
+                greatest += found[:, kept].max(axis=1).tolist() if kept.any() else [None] * len(found)
+                twin += ((earlier < of[rows, None]) & ~(found[:, ~kept] < threshold)).any(axis=1).tolist() if len(earlier) else [False] * len(found)
+        return pa.table({"candidate_id": ids if greatest else ids.slice(0, 0), "similarity": pa.array(greatest, pa.float64()), "twin": pa.array(twin, pa.bool_())})
+
+    met = left.groupBy("_key", "_i", "_j").cogroup(right.groupBy("_key", "_i", "_j")).applyInArrow(meet, schema)
+    return met.groupBy("candidate_id").agg(F.max("similarity").alias("similarity"), F.bool_or("twin").alias("twin"))
+
+
 def greedy_clusters(rows: DataFrame, key: str, threshold: float = 0.86) -> DataFrame:
     """key, id, cluster: rows in the order of (position, id) join the nearest seed at the threshold or become one.
 
