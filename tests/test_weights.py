@@ -88,3 +88,22 @@ def test_nothing_expected_keeps_the_weights(pools):
     signals, expected, _, _ = pools
     got = weights.optimise(signals, expected.where("false"), sets=4, generations=1).collect()
     assert all(r.before == r.after and r.mrr_after == 0 for r in got)
+
+
+def test_queries_of_weights_part_no_text_into_words(spark, monkeypatch):
+    from lorewell.operators import retrieval
+    from lorewell.plans import catalog, retrieval_queries
+
+    sf = "/root/testdata/sf0.001"
+    retrieval_queries._index(spark, sf)
+    parted, plain = [], retrieval.tokens
+    monkeypatch.setattr(retrieval, "tokens", lambda c: parted.append(str(c)) or plain(c))
+    for name in ("weight_search", "weight_sweep"):
+        assert catalog.queries()[name](spark, sf).count() in (4, 5)
+    read = spark.read.parquet(f"{sf}/documents.parquet")
+    assert parted and read.count() and all(c == str(F.col("text")) for c in parted)
+    found = {(r.query_id, r.id) for r in retrieval_queries._expected(spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in read.collect()}
+    asked = {r.query_id: r.text for r in retrieval_queries._queries(spark, sf).collect()}
+    assert found == {(q, i) for q, p in asked.items() for i, t in texts.items() if p in t} and found
+    assert not any("explode" in str(x).lower() for x in [retrieval_queries._expected(spark, sf)._jdf.queryExecution().optimizedPlan()])
